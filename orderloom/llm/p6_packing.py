@@ -50,7 +50,7 @@ def sizes(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
             rows: list[int] = []
             out: list[tuple[int, int, int]] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                n = len(encode(text, none)) // 4 if text else 0
+                n = memoryview(encode(text, none)).nbytes // 4 if text else 0
                 for no, start in enumerate(range(0, max(n, 1), capacity), 1):
                     rows.append(i)
                     out.append((no, start, min(capacity, n - start)))

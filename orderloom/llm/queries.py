@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1_hidden_copies", "p2_split_items", "p5_lookalikes", "p6_packing", "p7_leaked_items", "p8_shared_spans")
+MODULES = ("p1_hidden_copies", "p2_split_items", "p3_new_text", "p4_encoding", "p5_lookalikes", "p6_packing", "p7_leaked_items", "p8_shared_spans")
 
 
 def _modules():
