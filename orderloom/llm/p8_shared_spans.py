@@ -9,7 +9,10 @@ seen in several texts, every window around such a gram is hashed and counted. No
 Whole copies are grouped first by the SHA-256 of their text: a document of a group of copies is shared from end to
 end, and only one text of a group takes part in the counting, so a group that holds a third of all rows costs no
 more than one document. Counting uses partial aggregation; the rows that join back to a repeated hash are spread by
-AQE. Two windows are taken as equal if 128 bits of their two hashes agree.
+AQE. Before a shuffle, rows that a join would drop anyway are dropped by a bitmap of fixed size (8 MB) where that
+tells. Two windows are taken as equal if 96 bits of two independent hashes agree; only the few texts that hold a
+repeated gram are hashed at every place. All their windows are counted; only those that don't lie whole under a
+shared window found before (at the position of a gram) are then joined to the counts, for they alone can add to a run.
 
 Defined cases: null and empty texts, and texts under 200 characters, share nothing; a window that repeats only
 within one document isn't shared; an empty table gives no rows.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, checkpointed, codepoints, mix, mix_one, powers, signed, slices, table
+from .shared import U64, bitmap, checkpointed, codepoints, may_hold, mix, mix_one, powers, signed, slices, table
 
 WINDOW = 200
 GRAM = 80
@@ -76,8 +79,8 @@ def selected(points: np.ndarray, starts: np.ndarray, window: int, gram: int) ->
     return at, row[at], least[at], sums
 
 
-def grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(gram, text_key): the selected grams of every text; docs: text_key, text."""
+def grams(docs: DataFrame, bits: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(gram, text_key): the selected grams of every text, of those the filter lets through; docs: text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ["text"]):
@@ -85,36 +88,96 @@ def grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             _, row, least, _ = selected(points, starts, window, gram)
             if len(row):
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
-                yield pa.RecordBatch.from_arrays([signed(least[new]), batch.column(0).take(pa.array(row[new]))], ["gram", "text_key"])
+                least, row = least[new], row[new]
+                if bits is not None:
+                    may = may_hold(bits, least)
+                    least, row = least[may], row[may]
+                yield pa.RecordBatch.from_arrays([signed(least), batch.column(0).take(pa.array(row))], ["gram", "text_key"])
 
     return docs.select("text_key", "text").mapInArrow(run, "gram long, text_key long")
 
 
-def candidate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h1, h2, doc_id, pos): every window whose selected gram is in its document's list; docs: doc_id, text, grams."""
+def only(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The documents that the filter of hashed ids lets through; docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ["text"]):
+        for batch in batches:
+            may = may_hold(bits, mix(batch.column(0).to_numpy().view(U64)))
+            yield batch.filter(pa.array(may))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def hashed_ids(df: DataFrame) -> DataFrame:
+    """`mix` of the column doc_id, as the filter of `only` expects it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([signed(mix(batch.column(0).to_numpy().view(U64)))], ["h"])
+
+    return df.select("doc_id").mapInArrow(run, "h long")
+
+
+def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every element of a list column; null counts as empty."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+
+
+def _among(lists: pa.ListArray, hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each (hash, row): is the hash in the row's list?"""
+    own, values = _lists(lists)
+    salt = mix(np.arange(len(lists), dtype=U64) + U64(mix_one(7)))
+    wanted = np.unique(values.view(U64) ^ salt[own])
+    have = hashes ^ salt[row]
+    if not len(wanted):
+        return np.zeros(len(have), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, have), len(wanted) - 1)] == have
+
+
+def candidate_windows(docs: DataFrame, which: str = "all", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(h, x, doc_id, pos): windows whose selected gram is in their document's list; docs: doc_id, text, grams.
+
+    which: "all"; "anchors": only those that begin with a gram of the list; "open": only those that don't lie whole
+    under the windows at the positions of the column `covered`. h and x are 64 and 32 bits of two independent
+    hashes of the window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ["text"], 1 << 18):
             points, starts = codepoints(batch.column(1))
             at, row, least, sums = selected(points, starts, window, gram)
             if not len(at):
                 continue
-            lists = batch.column(2)
-            own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            salt = mix(np.arange(len(lists), dtype=U64) + U64(mix_one(7)))
-            wanted = np.unique(lists.flatten().to_numpy().view(U64) ^ salt[own])
-            have = least ^ salt[row]
-            place = np.minimum(np.searchsorted(wanted, have), max(len(wanted) - 1, 0))
-            hit = wanted[place] == have if len(wanted) else np.zeros(len(have), bool)
+            first = windows(sums, gram, BASES[0], at) if which == "anchors" else least
+            hit = _among(batch.column(2), first, row)
+            if which == "open":
+                own, covered = _lists(batch.column(3))
+                begin = starts[own] + covered.astype(np.int64) - 1
+                edge = np.bincount(begin, minlength=len(points) + 1) - np.bincount(begin + window, minlength=len(points) + 1)
+                under = np.concatenate([[0], np.cumsum(np.cumsum(edge)[: len(points)] > 0)])
+                hit &= under[at + window] - under[at] < window
             at, row = at[hit], row[hit]
             if len(at):
-                other = prefix(points, BASES[1])
+                other = windows(prefix(points, BASES[1]), window, BASES[1], at)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(windows(sums, window, BASES[0], at)), signed(windows(other, window, BASES[1], at)), batch.column(0).take(pa.array(row)), pa.array((at - starts[row] + 1).astype(np.int32))],
-                    ["h1", "h2", "doc_id", "pos"],
+                    [
+                        signed(windows(sums, window, BASES[0], at)),
+                        pa.array((other >> U64(32)).astype(np.uint32).view(np.int32)),
+                        batch.column(0).take(pa.array(row)),
+                        pa.array((at - starts[row] + 1).astype(np.int32)),
+                    ],
+                    ["h", "x", "doc_id", "pos"],
                 )
 
-    return docs.select("doc_id", "text", "grams").mapInArrow(run, "h1 long, h2 long, doc_id long, pos int")
+    return docs.mapInArrow(run, "h long, x int, doc_id long, pos int")
+
+
+def repeated(found: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos) of the rows of `found` whose window occurs in two documents of `of` (of `found` if None)."""
+    of = found if of is None else of
+    twice = of.groupBy("h", "x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "x")
+    return found.join(twice, ["h", "x"], "left_semi").select("doc_id", "pos")
 
 
 def merge(df: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -147,14 +210,21 @@ def shared_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
         .select("sha", "text_key", "rep", F.col("n").cast("long").alias("n"), (F.col("rep") < F.col("other")).alias("copied"))
     )
-    rows = grams(long, window, gram)
-    several = rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("gram")
-    lists = rows.join(several, "gram", "left_semi").groupBy("text_key").agg(F.collect_set("gram").alias("grams"))
-    chosen = lists.join(copies, "text_key").select(F.col("rep").alias("doc_id"), "grams")
-    found = checkpointed(candidate_windows(long.select("doc_id", "text").join(chosen, "doc_id"), window, gram))
-    twice = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2")
+    rows = grams(long, None, window, gram)
+    several = checkpointed(rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("gram"))
+    again = grams(long, bitmap(several, "gram"), window, gram)
+    lists = again.join(several, "gram", "left_semi").groupBy("text_key").agg(F.collect_set("gram").alias("grams"))
+    chosen = checkpointed(lists.join(copies, "text_key").select(F.col("rep").alias("doc_id"), "grams"))
+    texts = checkpointed(only(long, bitmap(hashed_ids(chosen), "h")).join(chosen, "doc_id"))
+    # most of a long stretch is covered by the windows at its grams; only the rest is looked up place by place
+    anchors = repeated(candidate_windows(texts.select("doc_id", "text", "grams"), "anchors", window, gram))
+    covered = checkpointed(anchors.groupBy("doc_id").agg(F.collect_list("pos").alias("covered")))
+    every = candidate_windows(texts.select("doc_id", "text", "grams"), "all", window, gram)
+    still = candidate_windows(texts.join(covered, "doc_id", "left").select("doc_id", "text", "grams", "covered"), "open", window, gram)
+    rest = repeated(still, every)
+    kept = rest.unionByName(covered.select("doc_id", F.explode("covered").alias("pos"))).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     single = copies.where("not copied").select(F.col("rep").alias("doc_id"))
-    kept = found.join(twice, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places")).join(single, "doc_id", "left_semi")
+    kept = kept.join(single, "doc_id", "left_semi")
     whole = (
         long.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
         .join(copies.where("copied").select("sha", "n"), "sha")

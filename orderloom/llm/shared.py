@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Letters and digits lie below this code point; a table of this length answers for all of Unicode.
 LIMIT = 0x33480
@@ -39,6 +40,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A bitmap of 2 ** 26 bits, 8 MB whatever the data, as a filter before a shuffle; more keys make it let more through.
+FILTER_BITS = 26
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """The filter of a column of 64-bit hashes, built by a partial aggregation into at most 2 ** 20 words."""
+    word = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS + 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS).bitwiseAND(F.lit(63))).cast("int"))
+    got = df.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(U64)
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for hashes that the filter's column doesn't hold."""
+    place = hashes >> U64(64 - FILTER_BITS)
+    return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
+
+
 def slices(batches: Iterable[pa.RecordBatch], weigh: list[str], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the named string columns of a piece hold about `most` bytes (one row at least)."""
     for batch in batches:
