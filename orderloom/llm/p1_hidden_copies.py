@@ -2,7 +2,8 @@
 
 Method: the three fields of a record are streamed through a skip-and-fold table (letters and digits are folded,
 all else is skipped) into two rolling polynomial hashes each; canonical strings are never built. Rows are grouped
-by the hashes and the four columns that must be equal, with partial aggregation before the shuffle; rows whose
+by the hashes and the four columns that must be equal: first the hashes alone are counted (partial aggregation, eight
+bytes a row), then only rows whose hash occurs twice are shuffled with their text. Rows whose
 hashes collide are compared with the smallest row of their group by a two-pointer comparison that skips and folds
 while it runs. Rows that it tells apart (a true collision of 128 bits) are grouped once more by their exact text.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .p5_lookalikes import finder, vocabulary
-from .shared import LIMIT, U64, checkpointed, codepoints, folded, mix, row_hashes, signed, slices, table, word_table
+from .shared import LIMIT, U64, bitmap, checkpointed, codepoints, folded, may_hold, mix, row_hashes, signed, slices, table, word_table
 
 EQUAL = ["settle_class", "order_type", "base_date", "t_day"]
 FIELDS = ["fund_code", "fund_name", "transfer_amount"]
@@ -205,6 +206,18 @@ def hashed(orders: DataFrame, names: list[str], others: list[str]) -> DataFrame:
     )
 
 
+def members(rows: DataFrame) -> DataFrame:
+    """The rows whose first hash occurs twice or more, and few others: a bitmap of fixed size tells before any shuffle."""
+    twice = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = bitmap(twice, "h1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bits, batch.column(batch.schema.get_field_index("h1")).to_numpy().view(U64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Adds `same`: is the row the same record as the representative of its group?"""
 
@@ -231,7 +244,7 @@ def canonical(column: Column) -> Column:
 
 def groups(orders: DataFrame, names: list[str], others: list[str]) -> DataFrame:
     """(keep_id, order_id) of every row that is in a set of two or more, the smallest row included."""
-    rows = hashed(orders, names, others)
+    rows = members(checkpointed(hashed(orders, names, others)))
     keys = [*EQUAL, "h1", "h2"]
     reps = (
         rows.groupBy(*keys)
