@@ -8,7 +8,8 @@ hashes collide are compared with the smallest row of their group by a two-pointe
 while it runs. Rows that it tells apart (a true collision of 128 bits) are grouped once more by their exact text.
 
 Defined cases: null and empty fields are equal; null equals null in settle_class, order_type, base_date and t_day;
-an amount without a digit is compared by its letters and digits; zero has no sign; rows of problem 5 are in no set.
+an amount without a digit is compared by its letters and digits; zero has no sign; rows of problem 5 and rows
+without an id are in no set.
 An empty table gives no rows. One hot group is split by AQE on the side of its rows: the other side has one row a group.
 """
 
@@ -201,7 +202,7 @@ def hashed(orders: DataFrame, names: list[str], others: list[str]) -> DataFrame:
                 ["order_id", *EQUAL, *RAW, "h1", "h2"],
             )
 
-    return orders.select(F.col("order_id").cast("long"), *EQUAL, *FIELDS, "record_text").mapInArrow(
+    return orders.where("order_id IS NOT NULL").select(F.col("order_id").cast("long"), *EQUAL, *FIELDS, "record_text").mapInArrow(
         run, "order_id long, settle_class string, order_type string, base_date string, t_day int, raw_code string, raw_name string, raw_amount string, h1 long, h2 long"
     )
 

@@ -7,7 +7,7 @@ piece holds at most `limit` characters and shares exactly `overlap` with the nex
 in an Arrow batch: no shuffle, and the table of plans is linear in the item's length.
 
 Defined cases: null and empty items, null or empty arrays and items within the limit give no piece (they stay as
-they are); a repeated row gives its pieces again; characters are code points; a cut never precedes a combining mark
+they are); a repeated row gives its pieces again; rows without an id are left out; characters are code points; a cut never precedes a combining mark
 where another place is within reach.
 """
 
@@ -150,7 +150,7 @@ def items_of(payloads: DataFrame) -> DataFrame:
     key = F.col("payload_id").cast("long").alias("payload_id")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("item_no"), F.col("markdown_text").alias("item")))
     parts = F.transform(F.coalesce("chunks", F.array().cast("array<string>")), lambda x, i: F.struct((i + 1).cast("long").alias("item_no"), x.alias("item")))
-    return payloads.select(key, F.explode(F.concat(whole, parts)).alias("x")).select("payload_id", "x.item_no", "x.item")
+    return payloads.where("payload_id IS NOT NULL").select(key, F.explode(F.concat(whole, parts)).alias("x")).select("payload_id", "x.item_no", "x.item")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

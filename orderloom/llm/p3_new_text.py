@@ -9,7 +9,7 @@ is undone and look-alike characters are folded before a rule sees the line.
 
 Each e-mail is read on its own in an Arrow batch; nothing is shuffled.
 
-Defined cases: rows of other content types, null texts and texts without an empty line have no body and give no
+Defined cases: rows of other content types or without an id, null texts and texts without an empty line have no body and give no
 rows; blank lines belong to neither side; an empty body is all new (an empty text); repeated rows repeat.
 """
 
@@ -182,7 +182,7 @@ def split_mail(text: str) -> tuple[list[str], list[str], int]:
 
 
 def _mails(payloads: DataFrame) -> DataFrame:
-    return payloads.where("content_type = 'message/rfc822' AND raw_text IS NOT NULL").select(F.col("payload_id").cast("long"), "raw_text")
+    return payloads.where("content_type = 'message/rfc822' AND raw_text IS NOT NULL AND payload_id IS NOT NULL").select(F.col("payload_id").cast("long"), "raw_text")
 
 
 def not_new(payloads: DataFrame) -> DataFrame:

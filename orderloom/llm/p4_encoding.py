@@ -9,7 +9,7 @@ Rows are worked on in Arrow batches without a shuffle; a line of ASCII only is n
 worker are repaired once.
 
 Defined cases: null and empty texts have no lines affected; a line that holds U+FFFD is affected even if nothing can
-be restored; genuine accents, Chinese characters, Cyrillic and Greek stay; repeated rows give repeated lines.
+be restored; genuine accents, Chinese characters, Cyrillic and Greek stay; rows without an id are left out; repeated rows give repeated lines.
 """
 
 from __future__ import annotations
@@ -247,7 +247,7 @@ def lines(df: DataFrame, key: str, field: str, restored: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     more = ", line string, restored string, complete boolean" if restored else ""
-    return df.select(F.col(key).cast("long"), field).mapInArrow(run, f"{key} long, line_no long{more}")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), field).mapInArrow(run, f"{key} long, line_no long{more}")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

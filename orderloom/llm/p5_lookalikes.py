@@ -7,7 +7,7 @@ normalized by table. Finding the values affected needs only the tables and, for
 the trie. Both run per row in Arrow batches, without a shuffle.
 
 Defined cases: null and empty values are plain and normalize to themselves; repeated rows give one row each in
-the normalizing query and one in p5_found (whose rows are distinct by key); extra columns are ignored.
+the normalizing query and one in p5_found (whose rows are distinct by key); rows without an id are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -368,7 +368,7 @@ def find(df: DataFrame, id_column: str, fields: list[str], names: list[str], oth
                         ["table_name", "row_id", "field_name"],
                     )
 
-    return df.select(F.col(id_column).cast("long"), *fields).mapInArrow(run, "table_name string, row_id long, field_name string")
+    return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), *fields).mapInArrow(run, "table_name string, row_id long, field_name string")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

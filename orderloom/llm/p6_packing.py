@@ -8,7 +8,8 @@ bounded; only (id, piece, tokens) is shuffled, never text. A text above the capa
 rest that is packed like a document.
 
 Defined cases: null and empty texts have no tokens and no container (null); equal texts are packed each by itself;
-an empty table gives no rows.
+rows
+without an id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def sizes(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
                 [batch.column(0).take(pa.array(rows)), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "piece_no", "start_token", "n_tokens"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece_no int, start_token long, n_tokens int")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece_no int, start_token long, n_tokens int")
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

@@ -10,7 +10,7 @@ The index is partitioned by document, so neither building nor searching shuffles
 over all shards. Test items are broadcast in blocks of at most MOST_ITEMS rows; more items mean more blocks, each
 over the stored index.
 
-Defined cases: null and empty texts, and items under 12 words, match nothing; repeated documents each match;
+Defined cases: null and empty texts, items under 12 words and rows without an id match nothing; repeated documents each match;
 words are maximal runs of letters and digits, compared case-folded.
 """
 
@@ -88,7 +88,7 @@ def build_index(docs: DataFrame, queries: Queries, shard_bytes: int = SHARD_BYTE
                     [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64()))], ["docs", "first", "postings"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "docs array<long>, first array<long>, postings array<long>")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "docs array<long>, first array<long>, postings array<long>")
 
 
 def search_shard(keys: np.ndarray, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def search_index(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame
 
 def leaked(docs: DataFrame, items: DataFrame, width: int = WORDS, slop: int = 0, most: int = MOST_ITEMS) -> DataFrame:
     """docs: doc_id, text; items: item_id, item_text. The items are collected in blocks of about `most` rows."""
-    items = items.select(F.col("item_id").cast("long"), F.coalesce("item_text", F.lit("")).alias("item_text"))
+    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.coalesce("item_text", F.lit("")).alias("item_text"))
     blocks = -(-max(items.count(), 1) // most)
     out = None
     for b in range(blocks):

@@ -14,7 +14,8 @@ tells. Two windows are taken as equal if 96 bits of two independent hashes agree
 repeated gram are hashed at every place. All their windows are counted; only those that don't lie whole under a
 shared window found before (at the position of a gram) are then joined to the counts, for they alone can add to a run.
 
-Defined cases: null and empty texts, and texts under 200 characters, share nothing; a window that repeats only
+Defined cases: null and empty texts, texts under 200 characters and rows without an id share nothing; a repeated row
+(same id and text) is one document; a window that repeats only
 within one document isn't shared; an empty table gives no rows.
 """
 
@@ -204,7 +205,7 @@ def merge(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def shared_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, start_pos, end_pos) of every maximal shared run; docs: doc_id, text."""
-    long = docs.where(F.char_length("text") >= window).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    long = docs.where((F.char_length("text") >= window) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     copies = checkpointed(
         long.groupBy(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text_key", F.char_length("text").alias("n"))
         .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
