@@ -65,7 +65,7 @@ def context_direction(row: Column, roles: Column) -> Column:
 def cells_of(tabs: DataFrame) -> DataFrame:
     """One row per non-zero amount cell of the body rows that aren't totals, with its column's spec: tables unpivoted."""
     t = with_specs(tabs)
-    r = t.select("doc_id", "section_no", "block_no", "header", "roles", "specs", F.posexplode("body").alias("p", "row"))
+    r = t.select("doc_id", "section_no", "block_no", "header", "roles", "specs", layout.posexplode("body").alias("p", "row")).where("p IS NOT NULL")
     r = r.select(
         "doc_id", "section_no", "block_no", (F.col("p") + 1).alias("row_no"), "specs", "row",
         text.blank_to_null(text.squeeze(layout.cell_at(F.col("row"), "code"))).alias("fund_code"),
@@ -74,7 +74,7 @@ def cells_of(tabs: DataFrame) -> DataFrame:
         F.array_contains("roles", "context").alias("has_context"),
         layout.is_total(F.col("row")).alias("total"),
     ).where("NOT total AND fund_code IS NOT NULL")
-    z = r.select("doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context", F.posexplode(F.arrays_zip("specs", "row")).alias("c", "z"))
+    z = r.select("doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context", layout.posexplode(F.arrays_zip("specs", "row")).alias("c", "z")).where("c IS NOT NULL")
     z = z.select("doc_id", "section_no", "block_no", "row_no", (F.col("c") + 1).alias("col_no"), "fund_code", "fund_name", "row_direction", "has_context", "z.specs.*", F.col("z.row").alias("cell"))
     return z.where("role = 'amount'").withColumn("amount", amounts.document_number(F.col("cell"))).where("amount <> 0")
 
@@ -117,7 +117,7 @@ def section_orders(docs: DataFrame) -> DataFrame:
 def buy_sell_orders(docs: DataFrame) -> DataFrame:
     """A BUY & SELL report: two amounts a row, a blank date takes the one above; total rows are left out."""
     sects = layout.sections(docs.where(F.upper("text").contains("BUY & SELL REPORT")))
-    rows = layout.raw_rows(sects).select("doc_id", "section_no", "block_no", F.posexplode("rows").alias("row_no", "r"))
+    rows = layout.raw_rows(sects).select("doc_id", "section_no", "block_no", layout.posexplode("rows").alias("row_no", "r")).where("row_no IS NOT NULL")
     cell = lambda k: F.get("r", F.lit(k))
     rows = rows.where((F.size("r") >= 9) & cell(3).rlike(r"^\d{4,}\z") & ~layout.is_total(F.col("r")))
     w = W.partitionBy("doc_id", "section_no", "block_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, W.currentRow)

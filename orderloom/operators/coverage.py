@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -31,7 +31,11 @@ def scope_members(payloads: DataFrame) -> DataFrame:
     """(doc_id, kind, value): the funds that a document's scope names, for documents whose scope doesn't include all."""
     s = payloads.where("target_fund_scope IS NOT NULL AND NOT target_fund_scope.include_all_funds")
     lists = [("code", "fund_codes"), ("name", "fund_names"), ("key", "canonical_fund_names")]
-    parts = F.flatten(F.array(*(F.transform(F.coalesce(F.col(f"target_fund_scope.{f}"), F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for k, f in lists)))
+
+    def marked(kind: str, field: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"target_fund_scope.{field}"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    parts = F.flatten(F.array(*(marked(k, f) for k, f in lists)))
     return s.select(F.col("payload_id").alias("doc_id"), F.explode(parts).alias("m")).select("doc_id", "m.kind", "m.value").distinct()
 
 

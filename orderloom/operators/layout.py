@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import amounts, labels, text
+from ..functions import labels, text
 
 # Delimiters of sections in raw text and in structured text, and of cells.
 RAW_DELIMITER = "\n\n==== SECTION ====\n\n"
@@ -31,6 +31,11 @@ TOTAL = r"(?i)^\[?(?:합계|총계|소계|누계|총합|subtotal|grand total|tot
 ORDER_SUBTOTALS = ["입금소계", "출금소계", "설정소계", "해지소계"]
 
 
+#: The outer form, its empty rows dropped afterwards: the inner one makes the optimizer filter by the size of its
+#: array first, and so compute the array twice.
+posexplode = F.posexplode_outer
+
+
 def sections(docs: DataFrame, delimiter: str = RAW_DELIMITER) -> DataFrame:
     """(doc_id, section_no, section): the non-blank sections of docs (doc_id, text), numbered from 1."""
     pattern = delimiter.replace("(", r"\(")
@@ -55,7 +60,7 @@ def markdown_cells(line: Column) -> Column:
 
 def blocks(sects: DataFrame, pattern: str = RAW_BLOCKS) -> DataFrame:
     """(doc_id, section_no, block_no, lines): the blocks of table lines of each section."""
-    b = sects.select("doc_id", "section_no", F.posexplode(F.regexp_extract_all("section", F.lit(pattern), F.lit(0))).alias("p", "block"))
+    b = sects.select("doc_id", "section_no", posexplode(F.regexp_extract_all("section", F.lit(pattern), F.lit(0))).alias("p", "block")).where("p IS NOT NULL")
     return b.select("doc_id", "section_no", (F.col("p") + 1).alias("block_no"), F.split(F.regexp_replace("block", r"\n\z", ""), "\n").alias("lines"))
 
 
@@ -70,28 +75,36 @@ def markdown_rows(sects: DataFrame) -> DataFrame:
     return blocks(sects, MARKDOWN_BLOCKS).select("doc_id", "section_no", "block_no", r.alias("rows"))
 
 
-def header_score(row: Column) -> Column:
-    """Two for each header word in the row, plus the number of its text cells if two or more."""
-    joined = F.lower(F.array_join(row, " "))
-    filled = F.filter(row, lambda x: x != "")
-    words = F.lit(0)
-    for w in HEADER_WORDS:
-        words = words + F.contains(joined, F.lit(w)).cast("int")
-    texts = F.size(F.filter(filled, lambda x: x.rlike("[A-Za-z가-힣]") & ~x.rlike(r"^[\d,.\-+() ]+\z")))
-    return F.when((F.size(filled) >= 2) & (words > 0), words * 2 + F.when(texts >= 2, texts).otherwise(0)).otherwise(0)
+_WORD_PATTERN = "|".join(HEADER_WORDS)
+
+
+def _look(row: Column) -> Column:
+    """(n, filled, texts) of a row: different header words in it, filled cells, cells of text."""
+    return F.struct(
+        F.size(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(row, " ")), F.lit(_WORD_PATTERN), F.lit(0)))).alias("n"),
+        F.size(F.filter(row, lambda x: x != "")).alias("filled"),
+        F.size(F.filter(row, lambda x: x.rlike("[A-Za-z가-힣]"))).alias("texts"),
+    )
+
+
+def header_score(look: Column) -> Column:
+    """Two for each header word of a row, plus the number of its text cells if two or more."""
+    return F.when((look["filled"] >= 2) & (look["n"] > 0), look["n"] * 2 + F.when(look["texts"] >= 2, look["texts"]).otherwise(0)).otherwise(0)
 
 
 def tables(rows: DataFrame) -> DataFrame:
-    """Blocks with a header: (…, header, header_at, roles, body); the header is the row of the highest score, the first of equals.
+    """Blocks with their header: (…, header, header_at, roles, body); the header is the row of the highest score, the first of equals.
 
     `roles` names what each column holds (see labels.role), '' where unknown; `body` are the rows below the header,
-    all of the block's width.
+    all of the block's width. A block without a header keeps its row with nulls: a filter here would be pushed below
+    and compute the scores twice; exploding the body drops it.
     """
-    scored = rows.withColumn("scores", F.transform("rows", header_score)).withColumn("best", F.array_max("scores"))
-    t = scored.where("best > 0").withColumn("header_at", F.array_position("scores", F.col("best")).cast("int"))
+    t = rows.withColumn("looks", F.transform("rows", _look))
+    t = t.withColumn("scores", F.transform("looks", header_score)).withColumn("best", F.array_max("scores"))
+    t = t.withColumn("header_at", F.when(F.col("best") > 0, F.array_position("scores", F.col("best")).cast("int")))
     t = t.withColumn("width", F.array_max(F.transform("rows", F.size)))
     pad = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("width") - F.size(r)))
-    t = t.withColumn("header", pad(F.element_at("rows", F.col("header_at"))))
+    t = t.withColumn("header", F.when(F.col("header_at").isNotNull(), pad(F.get("rows", F.col("header_at") - 1))))
     t = t.withColumn("roles", F.transform("header", lambda x: F.coalesce(labels.role(x), F.lit(""))))
     body = F.transform(F.slice("rows", F.col("header_at") + 1, F.greatest(F.size("rows") - F.col("header_at"), F.lit(0))), pad)
     return t.select("doc_id", "section_no", "block_no", "header", "header_at", "roles", body.alias("body"))
@@ -111,7 +124,7 @@ def is_total(row: Column) -> Column:
 
 def body_rows(tabs: DataFrame) -> DataFrame:
     """One row per body row of a table: its cells, code, name, manager, and whether it is a total."""
-    r = tabs.select("doc_id", "section_no", "block_no", "header", "roles", F.posexplode("body").alias("p", "row"))
+    r = tabs.select("doc_id", "section_no", "block_no", "header", "roles", posexplode("body").alias("p", "row")).where("p IS NOT NULL")
     return r.select(
         "doc_id", "section_no", "block_no", (F.col("p") + 1).alias("row_no"), "header", "roles", "row",
         text.blank_to_null(text.squeeze(cell_at(F.col("row"), "code"))).alias("code"),
@@ -123,8 +136,8 @@ def body_rows(tabs: DataFrame) -> DataFrame:
 
 def long_cells(rows: DataFrame) -> DataFrame:
     """(doc_id, section_no, block_no, row_no, col_no, cell): every cell of blocks as `raw_rows` gives them."""
-    r = rows.select("doc_id", "section_no", "block_no", F.posexplode("rows").alias("r", "row"))
-    c = r.select("doc_id", "section_no", "block_no", (F.col("r") + 1).alias("row_no"), F.posexplode("row").alias("c", "cell"))
+    r = rows.select("doc_id", "section_no", "block_no", posexplode("rows").alias("r", "row")).where("r IS NOT NULL")
+    c = r.select("doc_id", "section_no", "block_no", (F.col("r") + 1).alias("row_no"), posexplode("row").alias("c", "cell")).where("c IS NOT NULL")
     return c.select("doc_id", "section_no", "block_no", "row_no", (F.col("c") + 1).alias("col_no"), "cell")
 
 
@@ -189,13 +202,3 @@ def missing_tokens(rows: DataFrame, docs: DataFrame) -> DataFrame:
     c = long_cells(rows).where("cell <> ''").groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
     j = c.join(docs, "doc_id")
     return j.select("doc_id", F.size("cells").alias("n_cells"), F.size(F.filter("cells", lambda x: ~F.contains(F.col("text"), x))).alias("n_missing"))
-
-
-def amount_cells(rows: DataFrame) -> DataFrame:
-    """One row per amount cell of body rows (see `body_rows`) that is a number and not zero: the unpivot of a table."""
-    z = F.posexplode(F.arrays_zip(F.col("header").alias("label"), F.col("roles").alias("role"), F.col("row").alias("cell")))
-    keep = [c for c in rows.columns if c not in ("header", "roles", "row")]
-    u = rows.select(*keep, "roles", "row", "header", z.alias("c", "z")).where("z.role = 'amount'")
-    u = u.select(*keep, "roles", "row", "header", (F.col("c") + 1).alias("col_no"), F.col("z.label").alias("label"), F.col("z.cell").alias("cell"))
-    u = u.withColumn("amount", amounts.document_number(F.col("cell")))
-    return u.where("amount IS NOT NULL AND amount <> 0")

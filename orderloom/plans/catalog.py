@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, order_queries
+from . import document_queries, order_queries, other_queries
 
-GROUPS = (order_queries, document_queries)
+GROUPS = (order_queries, document_queries, other_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,7 +35,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabs(spark, sf_dir).select("doc_id", "section_no", "block_no", "header_at", F.array_join("header", "¦").alias("header"), F.array_join("roles", "¦").alias("roles"))
+    return tabs(spark, sf_dir).where("header_at IS NOT NULL").select("doc_id", "section_no", "block_no", "header_at", F.array_join("header", "¦").alias("header"), F.array_join("roles", "¦").alias("roles"))
 
 
 def body_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ lin AS (SELECT doc_id, section_no, block_no, unnest(lines) AS line, CAST(generat
 _CELLS = rf"""{_sections("raw_text", layout.RAW_DELIMITER)}, {_blocks(layout.RAW_BLOCKS)},
 prt AS (SELECT doc_id, section_no, block_no, row_no, string_split(regexp_replace(line, ' \|\s*$', ' | '), ' | ') AS parts FROM lin),
 cel AS (SELECT doc_id, section_no, block_no, row_no, CAST(generate_subscripts(parts, 1) AS INTEGER) AS col_no, trim(unnest(parts), chr(32) || chr(9) || chr(13) || chr(160) || chr(8195) || chr(8199) || chr(8201) || chr(8239) || chr(12288) || chr(133)) AS cell FROM prt)"""
-_WORDS = " + ".join(f"CAST(contains(j, '{w}') AS INTEGER)" for w in layout.HEADER_WORDS)
+_WORDS = f"len(list_distinct(regexp_extract_all(j, '{'|'.join(layout.HEADER_WORDS)}')))"
 _ROLE = (
     f"CASE WHEN {S.contains_any('k', labels.MANAGER_LABELS)} THEN 'manager' WHEN {S.contains_any('k', labels.CODE_LABELS)} THEN 'code' "
     f"WHEN ({S.contains_any('t', [*labels.EXPLICIT_LABELS, *labels.SHORT_AMOUNTS])} OR {S.contains_any('t', labels.NET_EVIDENCE)} OR k IN ({S.quoted(labels.GENERIC_AMOUNTS)}) OR ({S.is_schedule('t')} AND {S.contains_any('t', labels.AMOUNT_WORDS)})) AND NOT {S.contains_any('t', labels.NON_AMOUNT)} THEN 'amount' "
@@ -227,7 +227,7 @@ _KEYED = (
     r"WHEN regexp_matches(t, '[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일') THEN concat('M', lpad(regexp_extract(t, '([0-9]{1,2})\s*월', 1), 2, '0'), 'D', lpad(regexp_extract(t, '월\s*([0-9]{1,2})', 1), 2, '0')) ELSE 'COL' END"
 )
 _TABLES = rf"""{_CELLS},
-sco AS (SELECT {_B}, row_no, lower(string_agg(cell, ' ' ORDER BY col_no)) AS j, count(*) FILTER (cell <> '') AS filled, count(*) FILTER (regexp_matches(cell, '[A-Za-z가-힣]') AND NOT regexp_full_match(cell, '[0-9,.\-+() ]+')) AS texts, max(col_no) AS w FROM cel GROUP BY {_B}, row_no),
+sco AS (SELECT {_B}, row_no, lower(string_agg(cell, ' ' ORDER BY col_no)) AS j, count(*) FILTER (cell <> '') AS filled, count(*) FILTER (regexp_matches(cell, '[A-Za-z가-힣]')) AS texts, max(col_no) AS w FROM cel GROUP BY {_B}, row_no),
 sc2 AS (SELECT *, CASE WHEN filled >= 2 AND ({_WORDS}) > 0 THEN ({_WORDS}) * 2 + CASE WHEN texts >= 2 THEN texts ELSE 0 END ELSE 0 END AS score FROM sco),
 tab AS (SELECT {_B}, arg_max(row_no, score * 100000 - row_no) AS header_at, max(w) AS width, max(score) AS best FROM sc2 GROUP BY {_B} HAVING max(score) > 0),
 hdr AS (SELECT tab.doc_id, tab.section_no, tab.block_no, tab.header_at, g.col_no, coalesce(c.cell, '') AS label FROM tab CROSS JOIN LATERAL (SELECT CAST(unnest(generate_series(1, tab.width)) AS INTEGER) AS col_no) g
@@ -261,7 +261,7 @@ _TABLE_ORDERS = f"""{_UNPIVOT}, {_DATES},
 k AS (SELECT *, CASE WHEN net THEN CASE WHEN amount < 0 THEN 'RED' ELSE 'SUB' END ELSE coalesce(direction, row_direction) END AS order_type FROM am WHERE NOT beaten OR has_context),
 v AS (SELECT *, CASE WHEN net THEN amount WHEN order_type = 'RED' THEN -abs(amount) ELSE abs(amount) END AS value FROM k WHERE order_type IS NOT NULL),
 tor AS (SELECT doc_id, section_no, block_no, row_no, col_no, fund_code, coalesce(fund_name, '-') AS fund_name, CASE WHEN t_day = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS settle_class, order_type, base_date, t_day, {S.render(S.snap("value"))} AS transfer_amount FROM v JOIN dd USING (doc_id) WHERE base_date IS NOT NULL)"""
-_COVERED = f"""{_UNPIVOT}, cov AS (SELECT DISTINCT doc_id, fund_code AS fund, concat(CASE WHEN t_day = 0 THEN 'T0' ELSE concat('T+', CAST(t_day AS VARCHAR)) END, CASE WHEN net THEN '' ELSE coalesce(concat('_', nullif(coalesce(direction, row_direction), '')), '') END) AS bucket FROM am WHERE NOT beaten OR has_context)"""
+_COVERED = f"""{_UNPIVOT}, cov AS (SELECT DISTINCT doc_id, fund_code AS fund, concat(CASE WHEN t_day = 0 THEN 'T0' ELSE concat('T+', CAST(t_day AS VARCHAR)) END, CASE WHEN net THEN '' ELSE coalesce('_' || coalesce(direction, row_direction), '') END) AS bucket FROM am WHERE NOT beaten OR has_context)"""
 
 
 def _difference(keys: list[str]) -> str:

@@ -14,11 +14,11 @@ def contains_any(x: str, words: list[str]) -> str:
 
 
 def squeeze(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace({x}, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
 def compact(x: str) -> str:
-    return rf"regexp_replace(lower({x}), '[\s\p{{Z}}]+', '', 'g')"
+    return rf"regexp_replace(lower({x}), '[\s\x{{85}}\p{{Z}}]+', '', 'g')"
 
 
 def bare(x: str) -> str:
