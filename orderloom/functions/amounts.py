@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import WHITE, strip
 
 DECIMAL = "decimal(38,10)"
 # Texts that stand for no amount.
@@ -84,7 +84,7 @@ def signed(c: Column, order_type: Column) -> Column:
 
 def document_number(c: Column) -> Column:
     """The number of a document's cell: currency marks and spaces dropped, one of the units allowed."""
-    t = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"(?i)KRW|[₩￦원]", "")
+    t = F.regexp_replace(F.translate(c, WHITE, ""), r"(?i)KRW|[₩￦원]", "")
     unit = F.regexp_extract(t, "([억만천])\\z", 1)
     number = F.replace(F.regexp_replace(t, "[억만천]\\z", ""), F.lit(","), F.lit(""))
     factor = F.lit(1)

@@ -7,18 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode defines it.
-SPACE = r"(?U)\s+"
+#: White space as Unicode defines it, and a pattern of its runs (spelt out: faster than the Unicode mode of patterns).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{WHITE}]+"
 
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space; the ends are cut. Null stays null."""
-    return F.regexp_replace(F.regexp_replace(c, SPACE, " "), r"^ | $", "")
+    return F.btrim(F.regexp_replace(c, SPACE, " "))
 
 
 def strip(c: Column) -> Column:
     """The text without white space of any kind at its ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -35,6 +35,7 @@ def with_specs(tabs: DataFrame) -> DataFrame:
     base = F.transform(
         "header",
         lambda x, i: F.struct(
+            (i + 1).alias("col_no"),
             x.alias("label"),
             F.get("roles", i).alias("role"),
             labels.is_net(x, labels.NET_LABELS).alias("net"),
@@ -50,9 +51,9 @@ def with_specs(tabs: DataFrame) -> DataFrame:
         .when(F.array_position("_f", s["key"]) > 0, F.array_position("_f", s["key"]).cast("int"))
         .otherwise(0)
     )
-    t = t.withColumn("_d", F.transform("_s", lambda s: F.struct(*(s[k].alias(k) for k in ("label", "role", "net", "direction", "key")), day(s).alias("t_day"))))
+    t = t.withColumn("_d", F.transform("_s", lambda s: F.struct(*(s[k].alias(k) for k in ("col_no", "label", "role", "net", "direction", "key")), day(s).alias("t_day"))))
     t = t.withColumn("_n", F.transform(F.filter("_d", lambda s: s["net"] & (s["role"] == "amount")), lambda s: s["t_day"]))
-    full = F.transform("_d", lambda s: F.struct(*(s[k].alias(k) for k in ("label", "role", "net", "direction", "key", "t_day")), (~s["net"] & F.array_contains("_n", s["t_day"])).alias("beaten")))
+    full = F.transform("_d", lambda s: F.struct(*(s[k].alias(k) for k in ("col_no", "label", "role", "net", "direction", "key", "t_day")), (~s["net"] & F.array_contains("_n", s["t_day"])).alias("beaten")))
     return t.withColumn("specs", full).drop("_s", "_f", "_d", "_n")
 
 
@@ -74,9 +75,12 @@ def cells_of(tabs: DataFrame) -> DataFrame:
         F.array_contains("roles", "context").alias("has_context"),
         layout.is_total(F.col("row")).alias("total"),
     ).where("NOT total AND fund_code IS NOT NULL")
-    z = r.select("doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context", layout.posexplode(F.arrays_zip("specs", "row")).alias("c", "z")).where("c IS NOT NULL")
-    z = z.select("doc_id", "section_no", "block_no", "row_no", (F.col("c") + 1).alias("col_no"), "fund_code", "fund_name", "row_direction", "has_context", "z.specs.*", F.col("z.row").alias("cell"))
-    return z.where("role = 'amount'").withColumn("amount", amounts.document_number(F.col("cell"))).where("amount <> 0")
+    # numbers are read, and zeros dropped, inside the array: only amounts are exploded, and each is read once
+    own = F.filter(F.arrays_zip("specs", "row"), lambda z: (z["specs"]["role"] == "amount") & ~z["row"].isin("", "-", "0"))
+    read = F.filter(F.transform(own, lambda z: F.struct(z["specs"].alias("spec"), z["row"].alias("cell"), amounts.document_number(z["row"]).alias("amount"))), lambda x: x["amount"] != 0)
+    keep = ["doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context"]
+    z = r.select(*keep, F.explode_outer(read).alias("z")).where("z IS NOT NULL")
+    return z.select(*keep, "z.spec.*", "z.cell", "z.amount")
 
 
 def table_orders(tabs: DataFrame, dated: DataFrame) -> DataFrame:
@@ -129,16 +133,19 @@ def buy_sell_orders(docs: DataFrame) -> DataFrame:
     )
 
 
-def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per document the order set with more rows; of equal size the first. Both: doc_id and the order columns."""
-    a = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("a"))
-    b = second.groupBy("doc_id").agg(F.count(F.lit(1)).alias("b"))
-    pick = a.join(b, "doc_id", "full").select("doc_id", (F.coalesce("b", F.lit(0)) > F.coalesce("a", F.lit(0))).alias("second"))
+def preferred(*sets: DataFrame) -> DataFrame:
+    """Per document the order set with the most rows; of equal size the first given. Each: doc_id and the order columns.
+
+    One union and one window over a document's orders, so no set is computed twice.
+    """
     cols = ["doc_id", "fund_code", "fund_name", "settle_class", "order_type", "base_date", "t_day", "transfer_amount"]
-    return (
-        first.select(*cols).join(pick.where("NOT second").select("doc_id"), "doc_id", "left_semi")
-        .unionByName(second.select(*cols).join(pick.where("second").select("doc_id"), "doc_id", "left_semi"))
-    )
+    out = None
+    for k, s in enumerate(sets):
+        tagged = s.select(*cols, F.lit(k).alias("_k"))
+        out = tagged if out is None else out.unionByName(tagged)
+    w = W.partitionBy("doc_id")
+    sizes = F.array(*(F.struct(F.count(F.when(F.col("_k") == k, 1)).over(w).alias("n"), F.lit(-k).alias("k")) for k in range(len(sets))))
+    return out.withColumn("_best", -F.array_max(sizes)["k"]).where("_k = _best").select(*cols)
 
 
 def seeds(tabs: DataFrame) -> DataFrame:

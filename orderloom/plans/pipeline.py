@@ -19,11 +19,8 @@ def document_orders(docs: DataFrame) -> DataFrame:
     """Orders of documents (doc_id, text): reports and ledgers where a document is one, tables else; in output form."""
     tabs = layout.tables(layout.raw_rows(layout.sections(docs)))
     tables = builders.table_orders(tabs, builders.base_dates(docs))
-    chosen = builders.preferred(tables, builders.section_orders(docs))
-    report = builders.buy_sell_orders(docs)
-    cols = ["doc_id", *orders.OUTPUT]
-    rest = chosen.join(report.select("doc_id").distinct(), "doc_id", "left_anti").select(*cols)
-    found = report.select(*cols).unionByName(rest)
+    # a report's rows are no orders to the other two readings, so the largest set is the right one
+    found = builders.preferred(builders.buy_sell_orders(docs), tables, builders.section_orders(docs))
     return orders.output_form(found).distinct()
 
 
