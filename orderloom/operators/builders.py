@@ -74,12 +74,12 @@ def cells_of(tabs: DataFrame) -> DataFrame:
         context_direction(F.col("row"), F.col("roles")).alias("row_direction"),
         F.array_contains("roles", "context").alias("has_context"),
         layout.is_total(F.col("row")).alias("total"),
-    ).where("NOT total AND fund_code IS NOT NULL")
-    # numbers are read, and zeros dropped, inside the array: only amounts are exploded, and each is read once
+    )
+    # numbers are read, and zeros and totals dropped, inside the array: only amounts are exploded, and each is read once
     own = F.filter(F.arrays_zip("specs", "row"), lambda z: (z["specs"]["role"] == "amount") & ~z["row"].isin("", "-", "0"))
     read = F.filter(F.transform(own, lambda z: F.struct(z["specs"].alias("spec"), z["row"].alias("cell"), amounts.document_number(z["row"]).alias("amount"))), lambda x: x["amount"] != 0)
     keep = ["doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context"]
-    z = r.select(*keep, F.explode_outer(read).alias("z")).where("z IS NOT NULL")
+    z = r.select(*keep, F.explode_outer(F.when(~F.col("total") & F.col("fund_code").isNotNull(), read)).alias("z")).where("z IS NOT NULL")
     return z.select(*keep, "z.spec.*", "z.cell", "z.amount")
 
 

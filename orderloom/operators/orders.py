@@ -29,11 +29,11 @@ def with_identity(df: DataFrame) -> DataFrame:
 def candidates(items: DataFrame) -> DataFrame:
     """Stage items (doc_id, ord, fund_code, fund_name, base_date, t_day, evidence_label, transfer_amount, settle_class,
     order_type) made candidates. `drop_reason` says why a row is none; it is null for candidates."""
-    label = text.squeeze(F.coalesce("evidence_label", F.lit("")))
+    label = F.col("evidence_label")
     out = (
         items.withColumn("fund_code", F.coalesce(text.squeeze(F.col("fund_code")), F.lit("")))
         .withColumn("fund_name", F.coalesce(text.squeeze(F.col("fund_name")), F.lit("")))
-        .withColumn("evidence_label", label)
+        .withColumn("evidence_label", text.squeeze(F.coalesce("evidence_label", F.lit(""))))
         .withColumn("base_date", dates.normalize(F.col("base_date")))
         .withColumn("canonical", amounts.canonical(F.col("transfer_amount")))
         .withColumn("settle_class", labels.settle_class(F.col("settle_class"), F.col("t_day"), label))
@@ -49,7 +49,18 @@ def candidates(items: DataFrame) -> DataFrame:
         .when(F.col("settle_class").isNull(), "SETTLE_CLASS_MISSING")
         .when(F.col("order_type").isNull(), "ORDER_TYPE_MISSING")
     )
-    return with_identity(out.withColumn("drop_reason", reason))
+    k = F.col("fund_code")
+    return out.withColumn("drop_reason", reason).withColumns({"id_code": k, "id_name": F.when(k == "", F.col("fund_name")).otherwise("")})
+
+
+def live(df: DataFrame) -> DataFrame:
+    """The rows of `candidates` that are candidates.
+
+    The test goes through an exploded array: a plain filter would be pushed below the expressions that it tests and
+    compute all of them twice.
+    """
+    kept = df.withColumn("_live", F.explode_outer(F.when(F.col("drop_reason").isNull(), F.array(F.lit(True)))))
+    return kept.where("_live").drop("_live", "drop_reason")
 
 
 def dedupe_evidence(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.candidates(items(spark, sf_dir)).where("drop_reason IS NULL").drop("drop_reason")
+    return orders.live(orders.candidates(items(spark, sf_dir)))
 
 
 def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

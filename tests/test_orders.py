@@ -12,7 +12,7 @@ def items(spark, rows):
 
 
 def result(spark, rows):
-    c = orders.candidates(items(spark, rows)).where("drop_reason IS NULL").drop("drop_reason")
+    c = orders.live(orders.candidates(items(spark, rows)))
     return sorted((r.fund_code, r.order_type, r.transfer_amount, r.conflict) for r in orders.aggregate(c).collect())
 
 
