@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .p4_encoding import repair
+from .p4_encoding import LOST, repair
 from .p5_lookalikes import normalize_by_table
 from .shared import slices, table
 
@@ -81,10 +81,12 @@ def plain(line: str) -> str:
 
 
 def sender(header: list[str]) -> str:
-    """The name in the From field, '' if there is none."""
+    """The name in the From field, '' if there is none. Where characters of it are lost, the name as it stands: a
+    signature below was read in the same wrong encoding."""
     for line in header:
         if line[:5].lower() == "from:":
-            return re.sub(r"<.*", "", plain(line)[5:]).strip().strip("\"'")
+            name, written = (re.sub(r"<.*", "", x[5:]).strip().strip("\"'") for x in (plain(line), line))
+            return name if LOST not in name else written if written.strip(LOST) else ""
     return ""
 
 
@@ -160,7 +162,7 @@ def classify(body: list[str], name: str) -> list[bool]:
             continue
         elif _MOBILE.fullmatch(line):
             new[i] = False
-        elif _named(line, name) or _DELIMITER.fullmatch(lines[i].rstrip("\r")) and i + 1 < end and _signature_line(lines[i + 1]) and not quoted[i + 1]:
+        elif _named(line, name) or _named(body[i], name) or _DELIMITER.fullmatch(lines[i].rstrip("\r")) and i + 1 < end and _signature_line(lines[i + 1]) and not quoted[i + 1]:
             new[i] = False
             j = i + 1
             while j < end and j <= i + 8 and not quoted[j] and _signature_line(lines[j]) and not _NOTICE.match(lines[j].strip()) and not _ATTRIBUTION.fullmatch(lines[j].strip()):

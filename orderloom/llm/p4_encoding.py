@@ -141,6 +141,15 @@ def _beside(text: str, m: re.Match) -> bool:
     return any(c.isascii() and (c.isalpha() or sign and c.isdigit()) for c in near)
 
 
+_HANJA_IN_WORD = re.compile(r"[A-Za-z][\u3400-\u9fff\uf900-\ufaff]|[\u3400-\u9fff\uf900-\ufaff][A-Za-z]")
+
+
+def _unlikely_korean(back: str, read: str) -> bool:
+    """Kana; or Chinese characters, where they stand beside Latin letters (accents read as pairs) or came from such."""
+    kinds = {_kind(c) for c in back}
+    return "J" in kinds or "C" in kinds and (read not in ("latin-1", "web-1252", "mac-roman") or bool(_HANJA_IN_WORD.search(back)))
+
+
 def _whole(text: str) -> str:
     """text with one layer undone where that lowers the cost enough; else text."""
     if _KOREAN.match(text):
@@ -167,7 +176,7 @@ def _whole(text: str) -> str:
             back = raw.decode(written)
         except UnicodeDecodeError:
             continue
-        if back == text or (written == "cp949" and any(_kind(c) in "CJ" and _kind(c) for c in back)):
+        if back == text or written == "cp949" and _unlikely_korean(back, read):
             continue
         c = cost(back)
         if written == "utf-8" and c < now:

@@ -119,3 +119,16 @@ def test_amounts():
     assert OWN.flagged(pa.array(odd), True).all()
     assert [OWN.amount(x) for x in odd] == ["1350000", "-12345.6", "12345", "11000", "-5"]
     assert not OWN.flagged(pa.array(["-1,234.50", "+5", "1 000", "1'000", None, ""]), True).any()
+
+
+def test_hanja_read_as_latin():
+    for line in ["投資信託 基準價 確認 要", "株式型 特別計定 內譯 (別紙)"]:
+        assert p4.repair(line.encode("cp949").decode("latin-1")) == line
+
+
+def test_a_sender_whose_name_is_lost():
+    garble = lambda x: x.encode().decode("cp949", "replace")
+    header = [f"From: {garble('누온채')} <a@b.example>"]
+    body = [garble("안녕하세요."), garble("확인 부탁드립니다."), "", garble("누온채"), "a@b.example"]
+    assert p3.classify(body, p3.sender(header)) == [True, True, True, False, False]
+    assert p3.sender(["From: ��� <a@b.example>"]) == ""
