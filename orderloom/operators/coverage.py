@@ -9,27 +9,31 @@ from ..functions import text
 from . import builders
 
 
-def covered(tabs: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def covered(tabs: DataFrame, scope: DataFrame | None = None, restricted: DataFrame | None = None) -> DataFrame:
     """(doc_id, fund, bucket), distinct: a fund and a settlement bucket for which some table holds an amount.
 
-    scope: doc_id, include_all, kind ('code', 'name', 'key'), value; documents in it keep only their own funds.
+    scope: doc_id, kind ('code', 'name', 'key'), value; documents in `restricted` keep only the funds it names (see in_scope).
     """
     c = builders.cells_of(tabs)
     side = F.when(F.col("net"), "").otherwise(F.coalesce(F.concat(F.lit("_"), F.coalesce("direction", "row_direction")), F.lit("")))
     day = F.when(F.col("t_day") == 0, "T0").otherwise(F.concat(F.lit("T+"), F.col("t_day").cast("string")))
     c = c.where(~F.col("beaten") | F.col("has_context"))
     if scope is not None:
-        c = in_scope(c, scope)
+        c = in_scope(c, scope, restricted)
     return c.select("doc_id", F.col("fund_code").alias("fund"), F.concat(day, side).alias("bucket")).distinct()
 
 
-def counts(tabs: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    return covered(tabs, scope).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cells"))
+def counts(tabs: DataFrame, scope: DataFrame | None = None, restricted: DataFrame | None = None) -> DataFrame:
+    return covered(tabs, scope, restricted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+#: A scope leaves funds out only if the document has a manager column; without one nothing says whose funds they are.
+_LIMITS = "target_fund_scope.manager_column_present AND NOT target_fund_scope.include_all_funds"
 
 
 def scope_members(payloads: DataFrame) -> DataFrame:
-    """(doc_id, kind, value): the funds that a document's scope names, for documents whose scope doesn't include all."""
-    s = payloads.where("target_fund_scope IS NOT NULL AND NOT target_fund_scope.include_all_funds")
+    """(doc_id, kind, value): the funds that a document's scope names, for documents whose scope leaves funds out."""
+    s = payloads.where(_LIMITS)
     lists = [("code", "fund_codes"), ("name", "fund_names"), ("key", "canonical_fund_names")]
 
     def marked(kind: str, field: str) -> Column:
@@ -41,7 +45,7 @@ def scope_members(payloads: DataFrame) -> DataFrame:
 
 def limited(payloads: DataFrame) -> DataFrame:
     """The documents whose scope leaves funds out."""
-    return payloads.where("target_fund_scope IS NOT NULL AND NOT target_fund_scope.include_all_funds").select(F.col("payload_id").alias("doc_id"))
+    return payloads.where(_LIMITS).select(F.col("payload_id").alias("doc_id"))
 
 
 def in_scope(rows: DataFrame, members: DataFrame, restricted: DataFrame | None = None) -> DataFrame:

@@ -117,6 +117,14 @@ def test_scope(spark):
     assert sorted((r.doc_id, r.fund_code) for r in got) == [(1, "F1"), (1, "F2"), (2, "F9")]
 
 
+def test_scope_without_a_manager_column_keeps_all(spark):
+    rows = spark.createDataFrame([(1, "F1", "Alpha"), (1, "F2", "Beta"), (2, "F1", "Alpha"), (2, "F2", "Beta"), (3, "F2", "Beta")], "doc_id long, fund_code string, fund_name string")
+    scope = "payload_id long, target_fund_scope struct<manager_column_present: boolean, include_all_funds: boolean, fund_codes: array<string>, fund_names: array<string>, canonical_fund_names: array<string>>"
+    p = spark.createDataFrame([(1, (False, False, ["F1"], [], [])), (2, (True, False, ["F1"], [], [])), (3, (None, False, [], [], []))], scope)
+    got = coverage.in_scope(rows, coverage.scope_members(p), coverage.limited(p)).collect()
+    assert sorted((r.doc_id, r.fund_code) for r in got) == [(1, "F1"), (1, "F2"), (2, "F1"), (3, "F2")]
+
+
 PAGE = """<html><head><style>x</style></head><body><p>Hello&nbsp;you<br>there</p><table><tr><td><table>
 <tr><th rowspan=2>A</th><th colspan="2">B &amp; C</th></tr><tr><td>1</td><td>2</td></tr><tr><td>x</td></tr></table></td></tr></table><script>no</script><div>end</div></body></html>"""
 
