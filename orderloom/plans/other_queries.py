@@ -98,14 +98,15 @@ def _scratch(spark: SparkSession) -> str:
 def stream_first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_extractions as a stream, equal orders once: a count per settlement class."""
     out = _scratch(spark)
-    landing.drain(landing.first_orders(landing.table_stream(spark, sf_dir, "order_extractions")), f"{out}/rows", f"{out}/state")
+    first = landing.first_orders(landing.table_stream(spark, sf_dir, "order_extractions"), delay=None)
+    landing.drain(first.select("settle_class", "order_type"), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").groupBy("settle_class", "order_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type and day as a stream; the last windows stay open until the watermark passes them."""
+    """Events per type and day as a stream, the last days included."""
     out = _scratch(spark)
-    landing.drain(landing.windowed_counts(landing.table_stream(spark, sf_dir, "events"), "ts", "event_type"), f"{out}/rows", f"{out}/state")
+    landing.drain_whole(landing.windowed_counts(landing.table_stream(spark, sf_dir, "events"), "ts", "event_type", delay=None), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows")
 
 

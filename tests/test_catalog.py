@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from orderloom.operators import orders
 from orderloom.plans import catalog
 from orderloom.streaming import landing
 
@@ -65,3 +66,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got and all(want[k] == n for k, n in got.items())
     landing.drain(landing.windowed_counts(landing.table_stream(spark, DATA, "events"), "ts", "event_type"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == len(got)  # a second run adds nothing
+
+
+def test_streams_of_many_files_equal_batches(spark, tmp_path):
+    """More files than one micro-batch takes, the latest rows first."""
+    for name, time in (("events", "ts"), ("order_extractions", "extracted_at")):
+        t = spark.read.parquet(f"{DATA}/{name}.parquet")
+        t.repartitionByRange(70, F.desc(time)).write.parquet(str(tmp_path / f"{name}.parquet"))
+        assert len(glob.glob(str(tmp_path / f"{name}.parquet" / "*.parquet"))) > 64
+    e = spark.read.parquet(f"{DATA}/events.parquet").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, catalog.queries()["stream_event_counts"](spark, str(tmp_path)).collect())) == sorted(map(tuple, e.collect()))
+    o = orders.output_identity(orders.output_form(spark.read.parquet(f"{DATA}/order_extractions.parquet").select("order_id", *orders.OUTPUT)))
+    o = o.dropDuplicates([f"i_{c}" for c in orders.OUTPUT]).groupBy("settle_class", "order_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, catalog.queries()["stream_first_orders"](spark, str(tmp_path)).collect())) == sorted(map(tuple, o.collect()))
