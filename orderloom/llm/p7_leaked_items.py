@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, queries: Queries, shard_bytes: int = SHARD_BYTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ["text"], shard_bytes):
             h, g, row = words(batch.column(1))
-            # one empty place lies between two documents, so no phrase crosses them
+            # one empty place lies between two documents; search_shard stays within a document at any slop
             position = np.arange(len(row), dtype=np.int64) + row
             term = queries.term_of(h, g)
             hit = term >= 0
@@ -91,8 +91,12 @@ def build_index(docs: DataFrame, queries: Queries, shard_bytes: int = SHARD_BYTE
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "docs array<long>, first array<long>, postings array<long>")
 
 
-def search_shard(keys: np.ndarray, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start position) of every match in a shard's postings."""
+def search_shard(keys: np.ndarray, first: np.ndarray, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, document) of every match in a shard's postings; first: the position of each document's first word.
+
+    The document is the rarest term's own, and every other term is looked for within it: with a slop, a window's
+    computed start may lie before the document.
+    """
     terms = np.arange(len(queries.hash) + 1, dtype=np.int64) << SHIFT
     edge = np.searchsorted(keys, terms)
     count = np.diff(edge)
@@ -104,15 +108,18 @@ def search_shard(keys: np.ndarray, queries: Queries, slop: int = 0) -> tuple[np.
     n = count[rarest]
     window = np.repeat(np.arange(len(live)), n)
     nth = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-    start = (keys[edge[rarest][window] + nth] & ((1 << SHIFT) - 1)) - order[window, 0]
+    at = keys[edge[rarest][window] + nth] & ((1 << SHIFT) - 1)
+    start = at - order[window, 0]
+    doc = np.searchsorted(first, at, "right") - 1
+    low, high = first[doc], np.append(first[1:], 1 << SHIFT)[doc] - 1
     for k in range(1, order.shape[1]):
         offset = order[window, k]
-        least = (queries.terms[live[window], offset] << SHIFT) + np.maximum(start + offset - slop, 0)
-        most = (queries.terms[live[window], offset] << SHIFT) + np.maximum(start + offset + slop, 0)
-        at = np.searchsorted(keys, least)
-        ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= most) & (start + offset + slop >= 0)
-        window, start = window[ok], start[ok]
-    return live[window], start
+        least, most = np.maximum(start + offset - slop, low), np.minimum(start + offset + slop, high)
+        term = queries.terms[live[window], offset] << SHIFT
+        at = np.searchsorted(keys, term + least)
+        ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= term + most) & (least <= most)
+        window, start, doc, low, high = window[ok], start[ok], doc[ok], low[ok], high[ok]
+    return live[window], doc
 
 
 def search_index(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
@@ -122,11 +129,10 @@ def search_index(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 docs, first, keys = (np.asarray(batch.column(k)[i].values) for k in range(3))
-                window, start = search_shard(keys, queries, slop)
+                window, doc = search_shard(keys, first, queries, slop)
                 if not len(window):
                     continue
-                place = np.searchsorted(first, np.maximum(start, 0), "right") - 1
-                pairs = np.unique(np.stack([docs[place], queries.items[window]], axis=1), axis=0)
+                pairs = np.unique(np.stack([docs[doc], queries.items[window]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "item_id"])
 
     return index.mapInArrow(run, "doc_id long, item_id long")

@@ -108,6 +108,14 @@ def test_proximity_lets_words_lie_apart(spark):
     assert {r.doc_id for r in p7.leaked(df, it, slop=1).collect()} == {1, 2}
 
 
+def test_proximity_stays_within_a_document(spark):
+    one, two = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12", "m1 n2 o3 p4 q5 r6 s7 t8 u9 v10 w11 x12"
+    opening = one.replace("a1 b2", "b2 a1")  # b2, the rarest, is the document's first word
+    df = spark.createDataFrame([(1, "x a1"), (2, opening), (3, two[:17]), (4, two[18:])], "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame([(7, one), (8, two)], "item_id long, item_text string")
+    assert [tuple(r) for r in p7.leaked(df, it, slop=2).collect()] == [(2, 7)]
+
+
 @pytest.mark.parametrize("lengths", [np.random.default_rng(1).integers(1, 2049, 5000), np.full(100, 1025), np.full(10, 2048), np.arange(1, 2049), np.array([], int)])
 def test_packing(lengths):
     bins = p6.pack(lengths)
