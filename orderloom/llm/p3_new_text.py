@@ -165,7 +165,7 @@ def classify(body: list[str], name: str) -> list[bool]:
         elif _named(line, name) or _named(body[i], name) or _DELIMITER.fullmatch(lines[i].rstrip("\r")) and i + 1 < end and _signature_line(lines[i + 1]) and not quoted[i + 1]:
             new[i] = False
             j = i + 1
-            while j < end and j <= i + 8 and not quoted[j] and _signature_line(lines[j]) and not _NOTICE.match(lines[j].strip()) and not _ATTRIBUTION.fullmatch(lines[j].strip()):
+            while j < end and not quoted[j] and _signature_line(lines[j]) and not _NOTICE.match(lines[j].strip()) and not _ATTRIBUTION.fullmatch(lines[j].strip()):
                 new[j] = False
                 j += 1
             i = j

@@ -60,6 +60,14 @@ def test_new_text_of_a_mail():
     assert kept == lines[:8] + ["reply inside"]
 
 
+def test_a_long_signature_is_one():
+    block = ["Osta Quilme", "Treasury Operations", "Hollowmere Mutual", "오스타 퀼메", "자금운용팀", "홀로미어 상호", "12 Pier Road, Hollow Town", "Tel. 02-5780-7931", "Fax. 02-5780-7932", "Mobile 010-5780-7931", "o@x.example", "www.hollowmere.example"]
+    for delimiter in ([], ["-- "]):
+        lines = ["Please confirm the orders below.", "", *delimiter, *block, "", "One more thing is written here."]
+        new = p3.classify(lines, "Osta Quilme")
+        assert [x for x, n in zip(lines, new) if n and x] == [lines[0], lines[-1]]
+
+
 @pytest.mark.parametrize("head", [["From: A B <a@b.example>", "Sent: Mon, 1 Jan 2024", "To: c@d.example"], ["----- 원본 메시지 -----", "보낸 사람: 가 <a@b.example>", "보낸 날짜: 2024년 1월 1일", "받는 사람: c@d.example"], ["Begin forwarded message:", "From: A <a@b.example>", "Sent: x 2024", "To: y"]])
 def test_an_earlier_message_goes_to_the_end(head):
     lines = ["새 글입니다.", "", *head, "", "옛 글입니다."]
