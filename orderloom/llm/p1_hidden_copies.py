@@ -189,7 +189,7 @@ def hashed(orders: DataFrame, names: list[str], others: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = finder(*key)
         for batch in slices(batches, ["fund_name", "record_text", "transfer_amount"]):
-            odd = own.flagged(batch.column(batch.schema.get_field_index("fund_name")))
+            odd = own.flagged(batch.column(batch.schema.get_field_index("fund_name")), names=True)
             odd |= own.flagged(batch.column(batch.schema.get_field_index("transfer_amount")), True)
             batch = batch.filter(pa.array(~odd))
             raw = raw_fields(batch)

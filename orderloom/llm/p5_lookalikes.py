@@ -3,8 +3,10 @@
 Method: a trie of canonical spellings (fund names; words of names) is walked by a weighted edit automaton in
 which look-alikes and ignorable characters cost nothing, a difference of case, space or mark costs a little and
 any real edit more than is allowed. The cheapest canonical spelling is selected; what matches none is
-normalized by table. Finding the values affected needs only the tables and, for words wholly in another script,
-the trie. Both run per row in Arrow batches, without a shuffle.
+normalized by table. The values affected are found by tables (a character that stands for another or isn't seen, a
+word of two scripts, a number with letters); the automaton decides the rest: a fund name that reaches a name of the
+master, or a word wholly in another script that reaches a word of names, by look-alikes besides differences of case,
+space and mark. Both run per row in Arrow batches, without a shuffle.
 
 Defined cases: null and empty values are plain and normalize to themselves; repeated rows give one row each in
 the normalizing query and one in p5_found (whose rows are distinct by key); rows without an id are left out; extra columns are ignored.
@@ -168,10 +170,17 @@ def mixed(word: str) -> bool:
     return len(kinds) > 1
 
 
+def key(text: str) -> str:
+    """text without what CASE and LAYOUT pay for: case, spaces and marks."""
+    return "".join(c for c in unicodedata.normalize("NFC", text) if c.isalnum()).casefold()
+
+
 class Trie:
     """Canonical spellings, walked by a weighted edit automaton."""
 
     def __init__(self, spellings: Iterable[str]):
+        spellings = list(spellings)
+        self.keys = {key(x) for x in spellings if x}
         self.children: list[dict[str, int]] = [{}]
         self.canonical: list[str | None] = [None]
         for s in sorted({x for x in spellings if x}):
@@ -244,6 +253,20 @@ def options(c: str) -> tuple[tuple[str, float], ...]:
     return tuple(out.items())
 
 
+def skeleton(word: str) -> str:
+    return "".join(LATIN_LOOKALIKES.get(c, c) for c in word)
+
+
+def recased(m: re.Match, words: Trie) -> bool:
+    """Is the word, wholly of look-alikes, one of `words` in another case? Not if its line holds other letters of its script."""
+    w, text = m[0], m.string
+    if not all(c in LATIN_LOOKALIKES for c in w) or key(w) in words.keys or words.match(w) is None:
+        return False
+    stop = text.find("\n", m.end())
+    line = text[text.rfind("\n", 0, m.start()) + 1 : stop if stop >= 0 else len(text)]
+    return not any(_script(c) == _script(w[0]) and c not in LATIN_LOOKALIKES for c in line)
+
+
 def normalize_by_table(text: str, words: Trie | None = None) -> str:
     """text with every character that stands for another replaced; words of two scripts are brought into one."""
     text = "".join(c if (p := plain_for(c)) is None else p for c in unicodedata.normalize("NFC", text))
@@ -254,13 +277,12 @@ def normalize_by_table(text: str, words: Trie | None = None) -> str:
         w = m[0]
         if w.isascii() or not any(c in LATIN_LOOKALIKES for c in w):
             return w
-        skeleton = "".join(LATIN_LOOKALIKES.get(c, c) for c in w)
         if not mixed(w):
             known = words is not None and words.match(w, 0.0)
-            return known[0] if known else w
+            return known[0] if known else skeleton(w) if words is not None and recased(m, words) else w
         foreign = [c for c in w if _script(c) in ("C", "G", "A") and c not in LATIN_LOOKALIKES]
         if not foreign:
-            return skeleton
+            return skeleton(w)
         back = {v: k for k, v in reversed(LATIN_LOOKALIKES.items()) if _script(k) == _script(foreign[0])}
         return "".join(back.get(c, c) if _script(c) == "L" else c for c in w)
 
@@ -278,19 +300,24 @@ class Finder:
         self.words = Trie(self.vocabulary)
         self._name = functools.lru_cache(1 << 17)(self._name_of)
 
+    def odd_name(self, text: str) -> bool:
+        """Does text reach a name of the master, but not by case, spaces and marks alone?"""
+        return key(text) not in self.names.keys and self.names.match(text) is not None
+
     def odd_words(self, text: str) -> bool:
-        for w in _WORD.findall(text):
+        for found in _WORD.finditer(text):
+            w = found[0]
             if w.isascii():
                 continue
             if mixed(w):
                 return True
             if all(c in LATIN_LOOKALIKES for c in w) and w not in self.vocabulary:
-                if (m := self.words.match(w, 0.0)) and m[0] != w:
+                if (m := self.words.match(w, 0.0)) and m[0] != w or recased(found, self.words):
                     return True
         return False
 
-    def flagged(self, column: pa.Array, amounts: bool = False) -> np.ndarray:
-        """For each value of a string column: does it hold a character that isn't plain?"""
+    def flagged(self, column: pa.Array, amounts: bool = False, names: bool = False) -> np.ndarray:
+        """For each value of a string column (of amounts, of fund names): does it hold a character that isn't plain?"""
         column = pc.fill_null(column, "")
         points, starts = codepoints(column)
         kind = _classes(points)
@@ -300,7 +327,7 @@ class Finder:
         doubt = ~out & (look[starts[1:]] > look[starts[:-1]])
         for i in np.flatnonzero(doubt):
             text = column[int(i)].as_py()
-            out[i] = unicodedata.normalize("NFC", text) != text or (amounts and any(c in IN_NUMBERS for c in text)) or self.odd_words(text) or any(odd_number(m[0]) for m in _NUMBER_ANY.finditer(text))
+            out[i] = unicodedata.normalize("NFC", text) != text or (amounts and any(c in IN_NUMBERS for c in text)) or self.odd_words(text) or (names and self.odd_name(text)) or any(odd_number(m[0]) for m in _NUMBER_ANY.finditer(text))
         hint = pc.match_substring_regex(column, r"[OolI]" if amounts else _NUMBER_HINT).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(hint & ~out):
             text = column[int(i)].as_py()
@@ -361,7 +388,7 @@ def find(df: DataFrame, id_column: str, fields: list[str], names: list[str], oth
         for batch in slices(batches, fields):
             ids = batch.column(0)
             for k, field in enumerate(fields, 1):
-                hit = np.flatnonzero(own.flagged(batch.column(k), field == "transfer_amount"))
+                hit = np.flatnonzero(own.flagged(batch.column(k), field == "transfer_amount", field == "fund_name"))
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([table_name] * len(hit)), ids.take(pa.array(hit)), pa.array([field] * len(hit))],
@@ -395,7 +422,7 @@ def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
             form = {"fund_name": own.name, "transfer_amount": own.amount, "markdown_text": own.text}
             for batch in slices(batches, fields):
                 for k, field in enumerate(fields, 1):
-                    hit = pa.array(np.flatnonzero(own.flagged(batch.column(k), field == "transfer_amount")))
+                    hit = pa.array(np.flatnonzero(own.flagged(batch.column(k), field == "transfer_amount", field == "fund_name")))
                     if len(hit):
                         values = batch.column(k).take(hit)
                         yield pa.RecordBatch.from_arrays(

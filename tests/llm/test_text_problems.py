@@ -117,6 +117,21 @@ def test_look_alikes_are_found_and_undone(written, name):
     assert OWN.name(written) == NAMES[name]
 
 
+@pytest.mark.parametrize("written,plain", [("corvale infrastructure balanced с", "corvale infrastructure balanced c"), ("x\nИтог\nacс с | 5", "x\nИтог\nacc c | 5")])
+def test_look_alikes_in_another_case(written, plain):
+    own = p5.Finder(NAMES, ["acc"])
+    assert own.flagged(pa.array([written])).tolist() == [True]
+    assert own.text(written) == plain
+    assert OWN.flagged(pa.array([NAMES[0].lower(), "Рост с начала года", "линия роста фонд iii"])).tolist() == [False] * 3
+
+
+def test_names_are_matched_whole():
+    own = p5.Finder(["Линия Роста А", "Фонд Роста C", "Alpha B"])
+    names = ["фонд роста с", "Фонд-Роста С", "ЛИНИЯ РОСТА А", "линия роста а", "alpha b", "Фонд Роста C"]
+    assert own.flagged(pa.array(names), names=True).tolist() == [True, True, False, False, False, False]
+    assert own.name(names[0]) == own.name(names[1]) == "Фонд Роста C"
+
+
 def test_plain_text_is_left_alone():
     plain = [*NAMES, "솔빛\t리츠  채권형", "<SOLBIT>", None, "", "投資信託 別紙", "ÂNCORA à la Größe ±0.5 §4 ※", "Order-No. 5O is odd but alone"]
     assert OWN.flagged(pa.array(plain, pa.string())).tolist() == [False] * len(plain)
