@@ -76,14 +76,16 @@ def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mail_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails rebuilt as MIME messages and read by the mail source: their subject and their day in Seoul."""
+    """Mails rebuilt as MIME messages and read by the mail source: their day in Seoul, beside the one written."""
     p = table(spark, sf_dir, "task_payloads").where("content_type = 'message/rfc822' AND raw_text IS NOT NULL").select("payload_id", "file_name", "raw_text")
 
     @F.pandas_udf("string")
     def day(texts):
         def one(t):
-            value = next((x[6:].strip() for x in t.split("\n")[:8] if x.startswith("Date: ")), None)
-            return mail.seoul_date(value)
+            for line in mail.read_eml(mail.rebuild(t), "").split("\n"):
+                if not line or line.startswith("Date (Asia/Seoul): "):
+                    return line[19:] or None
+            return None
 
         return texts.map(one)
 

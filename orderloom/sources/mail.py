@@ -71,6 +71,18 @@ def read_eml(raw: bytes, name: str) -> str:
     return "\n".join([*head, "", *best]).rstrip()
 
 
+def rebuild(text: str) -> bytes:
+    """The MIME message that a mail's raw text (as `read_eml` gives it) was read from, as far as the text tells."""
+    head, _, body = text.replace("\r\n", "\n").partition("\n\n")
+    m = Message()
+    for line in head.split("\n"):
+        name, colon, value = line.partition(":")
+        if colon and name.lower() in ("subject", "from", "to", "date") and name not in m:
+            m[name] = " ".join(value.split())
+    m.set_payload(body.encode("utf-8", "replace"), "utf-8")
+    return m.as_bytes()
+
+
 def read_mht(raw: bytes) -> str:
     """The HTML parts of a web archive, one after another, as one section each."""
     m = message_from_bytes(raw)

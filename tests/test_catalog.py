@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import orders
 from orderloom.plans import catalog
+from orderloom.sources import mail
 from orderloom.streaming import landing
 
 DATA = "/root/testdata/sf0.001"
@@ -79,3 +80,14 @@ def test_streams_of_many_files_equal_batches(spark, tmp_path):
     o = orders.output_identity(orders.output_form(spark.read.parquet(f"{DATA}/order_extractions.parquet").select("order_id", *orders.OUTPUT)))
     o = o.dropDuplicates([f"i_{c}" for c in orders.OUTPUT]).groupBy("settle_class", "order_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, catalog.queries()["stream_first_orders"](spark, str(tmp_path)).collect())) == sorted(map(tuple, o.collect()))
+
+
+def test_mail_dates_anywhere_in_the_header(spark, tmp_path):
+    head = ["[EML x.eml]", "Subject: 운용지시", "From: A <a@x.example>", *(f"X-{i}: y" for i in range(9)), "Date: Mon, 13 May 2024 22:25 +0000", "Date (Asia/Seoul): 2024-05-14"]
+    texts = ["\n".join([*head, "", "body"]), "\n".join([*head[:3], "", "Date: Mon, 13 May 2024 22:25 +0000"]), "no header", ""]
+    p = spark.createDataFrame([(i, "x.eml", "message/rfc822", t) for i, t in enumerate(texts)], "payload_id long, file_name string, content_type string, raw_text string")
+    p.write.parquet(str(tmp_path / "task_payloads.parquet"))
+    got = {r.payload_id: r.day for r in catalog.queries()["mail_headers"](spark, str(tmp_path)).collect()}
+    assert got == {0: "2024-05-14", 1: None, 2: None, 3: None}
+    back = mail.read_eml(mail.rebuild(texts[0]), "x.eml").split("\n")
+    assert back == ["[EML x.eml]", *head[1:3], *head[-2:], "", "body"]
