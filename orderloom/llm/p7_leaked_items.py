@@ -1,14 +1,15 @@
 """Problem 7: passages of evaluation items in a training corpus.
 
-Method: a distributed positional inverted index. Each worker stores, for its share of the documents (a shard of
+Method: a distributed positional inverted index. Each worker builds, for its share of the documents (a shard of
 about 2 MB), the postings of the words that occur in test items: sorted numbers of term and position. A query
 window of 12 words is answered in every shard by taking the postings of its rarest term there, shifting them by the
 term's offset, and intersecting them with the shifted lists of the other terms from rare to common. A slop of 0
 gives exact phrases; a larger slop lets each word lie that many places off (proximity).
 
 The index is partitioned by document, so neither building nor searching shuffles anything, and a hot term is split
-over all shards. Test items are broadcast in blocks of at most MOST_ITEMS rows; more items mean more blocks, each
-over the stored index.
+over all shards. Test items are sent in blocks of about MOST_ITEMS rows. The index lives only within a job, shard by
+shard, and is never written: as it holds only the words of one block's items, each block of items and each query
+reads the documents and builds it anew.
 
 Defined cases: null and empty texts, items under 12 words and rows without an id match nothing; repeated documents each match;
 words are maximal runs of letters and digits, compared case-folded.
