@@ -82,16 +82,29 @@ def signed(c: Column, order_type: Column) -> Column:
     return F.when(t.rlike("^[+-]"), d).when(order_type == "RED", -d).otherwise(d).cast(DECIMAL)
 
 
-def document_number(c: Column) -> Column:
-    """The number of a document's cell: currency marks and spaces dropped, one of the units allowed."""
+TOKEN = r"^[+-]?\d[\d,]*(?:\.\d+)?[억만천]?\z"
+
+
+def token(c: Column) -> Column:
+    """A document's cell without currency marks and spaces, if it is an amount; null else."""
     t = F.regexp_replace(F.translate(c, WHITE, ""), r"(?i)KRW|[₩￦원]", "")
+    # most cells are text: their first letter tells
+    return F.when(c.rlike(rf"^[{WHITE}]*(?i:krw|[₩￦원+\-\d])"), F.when(t.rlike(TOKEN), t))
+
+
+def token_number(t: Column) -> Column:
+    """The number of a token, its unit multiplied in."""
     unit = F.regexp_extract(t, "([억만천])\\z", 1)
     number = F.replace(F.regexp_replace(t, "[억만천]\\z", ""), F.lit(","), F.lit(""))
     factor = F.lit(1)
     for mark, value in UNITS.items():
         factor = F.when(unit == mark, F.lit(value)).otherwise(factor)
-    ok = t.rlike(r"^[+-]?\d[\d,]*(\.\d+)?[억만천]?\z")
-    return F.when(ok, (number.try_cast("decimal(24,6)") * factor.cast("decimal(10,0)")).cast(DECIMAL))
+    return (number.try_cast("decimal(24,6)") * factor.cast("decimal(10,0)")).cast(DECIMAL)
+
+
+def document_number(c: Column) -> Column:
+    """The number of a document's cell: currency marks and spaces dropped, one of the units allowed."""
+    return token_number(token(c))
 
 
 def is_number(c: Column) -> Column:

@@ -18,14 +18,14 @@ def _pad(c: Column) -> Column:
     return F.lpad(c, 2, "0")
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
+def ymd(y: Column, m: Column, d: Column) -> Column:
     return F.concat_ws("-", y, _pad(m), _pad(d))
 
 
 def month_first(c: Column) -> Column:
     """MM-DD-YYYY as YYYY-MM-DD."""
     p = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\s*\z"
-    return F.when(c.rlike(p), _ymd(F.regexp_extract(c, p, 3), F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)))
+    return F.when(c.rlike(p), ymd(F.regexp_extract(c, p, 3), F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)))
 
 
 def short_english(c: Column) -> Column:
@@ -34,7 +34,7 @@ def short_english(c: Column) -> Column:
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(c, p, 2)))
     year = F.regexp_extract(c, p, 3).try_cast("int")
     full = F.when(year >= 69, year + 1900).otherwise(year + 2000).cast("string")
-    return F.when(c.rlike(p) & (month > 0), _ymd(full, month.cast("string"), F.regexp_extract(c, p, 1)))
+    return F.when(c.rlike(p) & (month > 0), ymd(full, month.cast("string"), F.regexp_extract(c, p, 1)))
 
 
 def year_first(c: Column) -> Column:
@@ -42,7 +42,7 @@ def year_first(c: Column) -> Column:
     digits = F.regexp_replace(c, r"[^0-9]", "")
     p = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
     return F.when(F.length(digits) == 8, F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))).when(
-        c.rlike(p), _ymd(F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 3))
+        c.rlike(p), ymd(F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 3))
     )
 
 
@@ -85,3 +85,30 @@ def days_ahead(label: Column, base: Column) -> Column:
     b = typed(base)
     there = F.try_to_date(F.concat_ws("-", F.year(b).cast("string"), _pad(F.regexp_extract(label, day, 1)), _pad(F.regexp_extract(label, day, 2))), "yyyy-MM-dd")
     return F.when(label.rlike(plus), F.regexp_extract(label, plus, 1).try_cast("int")).when(label.rlike(day), F.date_diff(there, b))
+
+
+def future_key(label: Column, base: Column) -> Column:
+    """What settlement a label names beside the base date's: a month and day, business days, or the label itself where it
+    speaks of a schedule, its words of direction left out; null for the same day."""
+    from . import labels
+
+    day = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일"
+    low = F.lower(label)
+    md = F.concat(_pad(F.regexp_extract(label, day, 1)), F.lit("-"), _pad(F.regexp_extract(label, day, 2)))
+    business = r"(익+영업일|제\s*\d+\s*영업일)"
+    words = "|".join(w for w in [*labels.SUB_WORDS, *labels.RED_WORDS] if w != "납입")
+    return (
+        F.when(label.rlike(day), F.when(md != F.substring(base, 6, 5), F.concat(F.lit("DATE:"), md)))
+        .when(low.rlike(business), F.concat(F.lit("BUSINESS:"), F.regexp_extract(low, business, 1)))
+        .when(labels.is_schedule(low), F.concat(F.lit("SCHEDULE:"), F.regexp_replace(F.regexp_replace(low, words, ""), r"\s+", "")))
+    )
+
+
+def noted_day(note: Column, amount: Column, number) -> Column:
+    """The day of the month that a note gives for an amount: the one written before its own 'amount > day', else the
+    only day in the note; number reads a note's amounts."""
+    p = r"(?:([+-]?\d[\d,]*(?:\.\d+)?[억만천]?)\s*>\s*)?(\d{1,2})일"
+    pairs = F.arrays_zip(F.regexp_extract_all(note, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(note, F.lit(p), F.lit(2)).alias("d"))
+    own = F.get(F.filter(pairs, lambda z: F.coalesce(F.abs(number(z["a"]) - amount) < 0.5, F.lit(False))), F.lit(0))["d"].try_cast("int")
+    days = F.array_distinct(F.transform(pairs, lambda z: z["d"].try_cast("int")))
+    return F.coalesce(own, F.when(F.size(days) == 1, F.get(days, F.lit(0))))

@@ -12,6 +12,11 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 SPACE = f"[{WHITE}]+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once: expressions inside array functions aren't shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space runs become one space; the ends are cut. Null stays null."""
     return F.btrim(F.regexp_replace(c, SPACE, " "))
@@ -31,6 +36,11 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), SPACE, "")
 
 
+def bare(c: Column) -> Column:
+    """Only digits, small ASCII letters and Hangul syllables; capitals are left out too, so fold the case first where it matters."""
+    return F.regexp_replace(c, "[^0-9a-z가-힣]+", "")
+
+
 def segments(c: Column) -> Column:
     """The parts of a label between slashes, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(c, "/"), lambda x: squeeze(x)), lambda x: x != "")

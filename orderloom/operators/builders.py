@@ -6,148 +6,220 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import amounts, dates, labels, text
+from ..functions import amounts, base_date, dates, labels, ledger, text
 from . import layout
 
-#: Where a document states its date: a label at the beginning of a line, then a date.
-DATE_LINE = r"(?md)^(?:Date|기준일자?|지시일자?|NAV Date)\s*:\s*(\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{8})\s*$"
-MAIL_DATE = r"(?md)^Date \(Asia/Seoul\): (\d{4}-\d{2}-\d{2})$"
+ORDER = ["fund_code", "fund_name", "settle_class", "order_type", "base_date", "t_day", "transfer_amount"]
 
 
-def base_dates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base_date, candidates): the one date that a document's date lines agree on, else its mail's date.
+def dated(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with their base date and where it stands (base_date.document_date): no join, no second reading."""
+    d = docs.withColumn("_d", base_date.document_date(F.col("text")))
+    return d.withColumn("base_date", F.col("_d.date")).withColumn("date_source", F.col("_d.source")).drop("_d")
 
-    Several different dates are a conflict and give none; the mail's date is asked only where there is no date line.
-    """
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(DATE_LINE), F.lit(1)), dates.year_first))
-    mail = text.blank_to_null(F.regexp_extract("text", MAIL_DATE, 1))
-    d = docs.where("text IS NOT NULL").select("doc_id", found.alias("found"), mail.alias("mail"))
-    n = F.size("found")
-    return d.select("doc_id", F.when(n == 1, F.get("found", F.lit(0))).when(n == 0, F.col("mail")).alias("base_date"), n.alias("candidates"))
 
+def recovered(docs: DataFrame) -> DataFrame:
+    """The tables of dated documents, as a structured document shows them, with the columns' specs."""
+    sects = layout.sections(dated(docs).drop("date_source"))
+    sects = sects.withColumn("lossless", layout.web(F.col("section")))
+    shown = layout.pruned(layout.tables(layout.raw_rows(sects)))
+    cols = ["doc_id", "section_no", "block_no", "base_date", "header", "body"]
+    return with_specs(shown.select(*cols).unionByName(layout.schedules(sects).select(*cols)))
 
-def with_specs(tabs: DataFrame) -> DataFrame:
-    """Adds `specs`: per column what its label says, once per table and not once per row.
 
-    t_day is the number of T+n or D+n; other future buckets are numbered by their first appearance, left to right;
-    the rest is day 0. `beaten` marks explicit columns of a day for which the table has a net column.
-    """
-    base = F.transform(
-        "header",
-        lambda x, i: F.struct(
-            (i + 1).alias("col_no"),
-            x.alias("label"),
-            F.get("roles", i).alias("role"),
-            labels.is_net(x, labels.NET_LABELS).alias("net"),
-            labels.direction(x).alias("direction"),
-            dates.bucket_key(x, i + 1).alias("key"),
-        ),
-    )
-    t = tabs.withColumn("_s", base)
-    future = F.array_distinct(F.transform(F.filter("_s", lambda s: (s["role"] == "amount") & s["key"].rlike(r"^(?:\d{4}-|M\d)")), lambda s: s["key"]))
-    t = t.withColumn("_f", future)
-    day = lambda s: (
-        F.when(s["key"].rlike(r"^T\+\d+\z"), F.regexp_extract(s["key"], r"\d+", 0).try_cast("int"))
-        .when(F.array_position("_f", s["key"]) > 0, F.array_position("_f", s["key"]).cast("int"))
-        .otherwise(0)
-    )
-    t = t.withColumn("_d", F.transform("_s", lambda s: F.struct(*(s[k].alias(k) for k in ("col_no", "label", "role", "net", "direction", "key")), day(s).alias("t_day"))))
-    t = t.withColumn("_n", F.transform(F.filter("_d", lambda s: s["net"] & (s["role"] == "amount")), lambda s: s["t_day"]))
-    full = F.transform("_d", lambda s: F.struct(*(s[k].alias(k) for k in ("col_no", "label", "role", "net", "direction", "key", "t_day")), (~s["net"] & F.array_contains("_n", s["t_day"])).alias("beaten")))
-    return t.withColumn("specs", full).drop("_s", "_f", "_d", "_n")
+def code_at(header: Column, body: Column) -> Column:
+    """The place of the fund code: by its label; beside a fund name and net amounts also a manager's code or a column
+    'fund' whose first cells look like codes."""
+    low = lambda x: F.lower(x)
+    named = labels._first(header, lambda x: x.contains("펀드코드") | low(x).contains("fund code") | text.compact(x).isin("수탁코드", "종목코드"))
+    fits = lambda n: lambda x, i: _sampled(body, i, n)
+    manager = F.array_position(F.transform(header, lambda x, i: (x.contains("운용사코드") | text.compact(x).contains("managercode")) & fits(10)(x, i)), True).cast("int")
+    fund = F.array_position(F.transform(header, lambda x, i: text.compact(x).isin("펀드", "fund") & fits(5)(x, i)), True).cast("int")
+    allowed = F.exists(header, lambda x: x.contains("펀드명") | low(x).contains("fund name")) & F.exists(header, lambda x: labels.is_net(x))
+    return F.coalesce(named, F.when(allowed, F.coalesce(F.when(manager > 0, manager), F.when(fund > 0, fund))))
+
+
+def _sampled(body: Column, i: Column, n: int) -> Column:
+    """Do the first n filled cells of a column all look like codes? False for none."""
+    own = F.slice(F.filter(F.transform(body, lambda r: text.squeeze(F.get(r, i))), lambda c: F.coalesce(c, F.lit("")) != ""), 1, n)
+    return (F.size(own) > 0) & F.forall(own, lambda c: c.rlike(r"^[A-Z0-9]{3,}\z"))
+
+
+def name_at(header: Column, body: Column) -> Column:
+    """The place of the fund name: by its label, or a column 'fund' whose first cells aren't all codes."""
+    named = labels._first(header, lambda x: x.contains("펀드명") | F.lower(x).contains("fund name"))
+    filled = lambda i: F.exists(body, lambda r: F.coalesce(F.get(r, i), F.lit("")) != "")
+    fund = F.array_position(F.transform(header, lambda x, i: text.compact(x).isin("펀드", "fund") & filled(i) & ~_sampled(body, i, 5)), True).cast("int")
+    return F.coalesce(named, F.when(fund > 0, fund))
+
+
+_SPEC = ["at", "label", "direction", "net", "rank", "future", "plus", "signed"]
+
 
+def with_specs(tabs: DataFrame) -> DataFrame:
+    """Adds `specs`: the columns that hold orders, each with day, direction and how its sign is read; tabs: header, body, base_date.
 
-def context_direction(row: Column, roles: Column) -> Column:
+    Where rows give the direction (`context`), columns have a rank, and only those of the lowest rank of a day count;
+    else a day that has a net column drops its other columns. The day is n of T+n; other future settlements are
+    numbered by their first appearance from left to right; what names the base date or no date is day 0. `noise`
+    says that some label has leading parts that mean nothing: such a table is no authority.
+    """
+    t = tabs.withColumn("names", F.transform("header", labels.semantic))
+    t = t.withColumn("noise", F.exists(F.arrays_zip("header", "names"), lambda z: text.squeeze(z["header"]) != z["names"]))
+    t = t.withColumn("context", F.transform("names", labels.is_context_header))
+    has = F.exists("context", lambda x: x)
+    base = F.coalesce(F.col("base_date"), F.lit(""))
+    plus = r"t\s*\+\s*(\d+)"
+
+    def spec(x: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("at"), x.alias("label"), F.when(~labels.is_metadata(x), labels.direction(x)).alias("direction"), labels.is_net(x).alias("net"),
+            F.when(has, labels.order_rank(x)).alias("rank"), dates.future_key(x, base).alias("future"), F.regexp_extract(F.lower(x), plus, 1).try_cast("int").alias("plus"),
+        )
+
+    t = t.withColumn("specs", F.transform("names", spec))
+    signed = lambda s: s["rank"].isNull() & (s["net"] | (s["direction"].isNull() & s["future"].isNotNull()))
+    used = lambda s: (s["label"] != "") & (s["direction"].isNotNull() | s["rank"].isNotNull() | s["net"] | s["future"].isNotNull())
+    fields = _SPEC[:-1]
+    t = t.withColumn("specs", F.transform(F.filter("specs", used), lambda s: F.struct(*(s[k].alias(k) for k in fields), signed(s).alias("signed"))))
+    t = t.withColumn("_f", F.array_distinct(F.transform(F.filter("specs", lambda s: s["plus"].isNull() & s["future"].isNotNull()), lambda s: s["future"])))
+    day = lambda s: F.coalesce(s["plus"], F.when(s["future"].isNull(), F.lit(0)).otherwise(F.array_position("_f", s["future"]).cast("int")))
+    t = t.withColumn("specs", F.transform("specs", lambda s: F.struct(*(s[k].alias(k) for k in _SPEC), day(s).alias("t_day"))))
+    of_day = lambda s, test: F.filter("specs", lambda o: (o["t_day"] == s["t_day"]) & test(o))
+    best = lambda s: F.array_min(F.transform(of_day(s, lambda o: o["rank"].isNotNull()), lambda o: o["rank"]))
+    t = t.withColumn("specs", F.transform("specs", lambda s: F.struct(*(s[k].alias(k) for k in [*_SPEC, "t_day"]), best(s).alias("best"), F.exists("specs", lambda o: (o["t_day"] == s["t_day"]) & o["signed"]).alias("netted"))))
+    stays = lambda s: F.coalesce(s["rank"] == s["best"], F.lit(False)) | (s["best"].isNull() & (s["signed"] | ~s["netted"]))
+
+    def final(s: Column) -> Column:
+        total = text.bare(F.lower(s["label"])).contains("펀드계")
+        ranked = s["best"].isNotNull()
+        return F.struct(
+            s["at"].alias("at"), s["label"].alias("label"), s["t_day"].alias("t_day"), F.when(~ranked & ~s["signed"], s["direction"]).alias("direction"),
+            F.when(ranked, total).otherwise(s["signed"]).alias("signed"), (ranked & ~total).alias("by_row"), labels.is_pending_request(s["label"]).alias("pending"),
+        )
+
+    t = t.withColumn("specs", F.transform(F.filter("specs", stays), final)).drop("_f")
+    t = t.withColumn("code_at", code_at(F.col("names"), F.col("body"))).withColumn("name_at", name_at(F.col("names"), F.col("body")))
+    return t.withColumn("note_at", labels._first(F.col("names"), lambda x: text.compact(x).rlike("비고|remark|note")))
+
+
+def context_direction(row: Column, context: Column) -> Column:
     """The direction that a row's context cells name: the first cell that names one."""
-    named = F.transform(F.filter(F.arrays_zip(row.alias("cell"), roles.alias("role")), lambda z: z["role"] == "context"), lambda z: labels.direction(z["cell"]))
+    named = F.transform(F.filter(F.arrays_zip(row.alias("cell"), context.alias("is")), lambda z: z["is"]), lambda z: F.when(~labels.is_metadata(z["cell"]), labels.direction(z["cell"])))
     return F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0))
 
 
+def is_summary(value: Column) -> Column:
+    """A cell that is a total and nothing else, spaces and marks aside, or counts funds."""
+    t = F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", "")
+    return t.isin("합계", "총계", "소계", "subtotal", "grandtotal", "total") | layout.is_total_text(value)
+
+
 def cells_of(tabs: DataFrame) -> DataFrame:
-    """One row per non-zero amount cell of the body rows that aren't totals, with its column's spec: tables unpivoted."""
-    t = with_specs(tabs)
-    r = t.select("doc_id", "section_no", "block_no", "header", "roles", "specs", layout.posexplode("body").alias("p", "row")).where("p IS NOT NULL")
-    r = r.select(
-        "doc_id", "section_no", "block_no", (F.col("p") + 1).alias("row_no"), "specs", "row",
-        text.blank_to_null(text.squeeze(layout.cell_at(F.col("row"), "code"))).alias("fund_code"),
-        text.blank_to_null(text.squeeze(layout.cell_at(F.col("row"), "name"))).alias("fund_name"),
-        context_direction(F.col("row"), F.col("roles")).alias("row_direction"),
-        F.array_contains("roles", "context").alias("has_context"),
-        layout.is_total(F.col("row")).alias("total"),
+    """One row per amount cell of an order column: tables unpivoted, zeros and totals left out; tabs as `recovered` gives them.
+
+    Everything about a cell, its table's facts too, is put into the struct that is exploded. A filter on a column from
+    below an explosion would be pushed down through the table's whole derivation and compute all of it again.
+    """
+    code = text.blank_to_null(text.squeeze(F.get("row", F.col("code_at") - 1)))
+    name = text.blank_to_null(text.squeeze(F.get("row", F.col("name_at") - 1)))
+    t = tabs.select("doc_id", "section_no", "block_no", "base_date", "noise", "context", "specs", "code_at", "name_at", "note_at", layout.posexplode("body").alias("p", "row"))
+    r = t.select(
+        "doc_id", "section_no", "block_no", (F.col("p") + 1).alias("row_no"), "row", "specs",
+        F.struct(
+            code.alias("fund_code"), name.alias("fund_name"), F.col("code_at").isNotNull().alias("has_code"), "noise", "base_date",
+            context_direction(F.col("row"), F.col("context")).alias("row_direction"), F.get("row", F.col("note_at") - 1).alias("note"),
+        ).alias("f"),
     )
+    fact = lambda k: F.col("f")[k]
+    own = fact("fund_code").isNotNull() | (~fact("has_code") & fact("fund_name").isNotNull() & ~fact("fund_name").isin("/", "-"))
+    total = is_summary(F.coalesce(fact("fund_code"), F.lit(""))) | is_summary(F.coalesce(fact("fund_name"), F.lit("")))
     # numbers are read, and zeros and totals dropped, inside the array: only amounts are exploded, and each is read once
-    own = F.filter(F.arrays_zip("specs", "row"), lambda z: (z["specs"]["role"] == "amount") & ~z["row"].isin("", "-", "0"))
-    read = F.filter(F.transform(own, lambda z: F.struct(z["specs"].alias("spec"), z["row"].alias("cell"), amounts.document_number(z["row"]).alias("amount"))), lambda x: x["amount"] != 0)
-    keep = ["doc_id", "section_no", "block_no", "row_no", "fund_code", "fund_name", "row_direction", "has_context"]
-    z = r.select(*keep, F.explode_outer(F.when(~F.col("total") & F.col("fund_code").isNotNull(), read)).alias("z")).where("z IS NOT NULL")
-    return z.select(*keep, "z.spec.*", "z.cell", "z.amount")
+    cell = F.transform(F.when(own & ~total, F.col("specs")), lambda s: F.struct(s.alias("s"), amounts.token(F.get("row", s["at"])).alias("cell")))
+    paid = F.transform(F.filter(cell, lambda z: z["cell"].rlike("[1-9]")), lambda z: F.struct(z["s"].alias("s"), z["cell"].alias("cell"), amounts.token_number(z["cell"]).alias("amount"), F.col("f").alias("f")))
+    z = r.select("doc_id", "section_no", "block_no", "row_no", layout.posexplode(paid).alias("q", "z")).where("z.amount <> 0").select("doc_id", "section_no", "block_no", "row_no", "z")
+    z = z.select("doc_id", "section_no", "block_no", "row_no", (F.col("z.s.at") + 1).alias("col_no"), "z.cell", "z.amount", "z.f.*", "z.s.*").drop("at")
+    noted = dates.noted_day(F.col("note"), F.col("amount"), amounts.document_number) - F.substring("base_date", 9, 2).try_cast("int")
+    z = z.withColumn("t_day", F.when(F.col("pending"), F.when(noted > 0, noted)).otherwise(F.col("t_day"))).drop("note")
+    sign = F.when(F.col("amount") < 0, "RED").otherwise("SUB")
+    by_row = F.when(F.col("cell").rlike("^[+-]"), sign).otherwise(F.col("row_direction"))
+    return z.withColumn("order_type", F.when(F.col("by_row"), by_row).when(F.col("signed"), sign).otherwise(F.col("direction")))
 
 
-def table_orders(tabs: DataFrame, dated: DataFrame) -> DataFrame:
-    """Tables to orders: one per amount cell, net before explicit within a day; dated: doc_id, base_date."""
-    c = cells_of(tabs).where(~F.col("beaten") | F.col("has_context"))
-    sign = F.when(F.col("amount") < 0, "RED").otherwise("SUB")
-    kind = F.when(F.col("net"), sign).otherwise(F.coalesce("direction", "row_direction"))
-    value = F.when(F.col("net"), F.col("amount")).when(kind == "RED", -F.abs("amount")).otherwise(F.abs("amount")).cast(amounts.DECIMAL)
-    o = c.withColumn("order_type", kind).where("order_type IS NOT NULL").withColumn("value", value)
-    return o.join(dated.where("base_date IS NOT NULL").select("doc_id", "base_date"), "doc_id").select(
-        "doc_id", "section_no", "block_no", "row_no", "col_no", "fund_code", F.coalesce("fund_name", F.lit("-")).alias("fund_name"),
+def orders_of(cells: DataFrame) -> DataFrame:
+    """Amount cells as orders, those that have a day, a direction and a base date."""
+    value = F.when(F.col("signed"), F.col("amount")).when(F.col("order_type") == "RED", -F.abs("amount")).otherwise(F.abs("amount")).cast(amounts.DECIMAL)
+    o = cells.where("t_day IS NOT NULL AND order_type IS NOT NULL AND base_date IS NOT NULL")
+    return o.select(
+        "doc_id", "section_no", "block_no", "row_no", "col_no", F.coalesce("fund_code", F.lit("")).alias("fund_code"), F.coalesce("fund_name", F.lit("-")).alias("fund_name"),
         F.when(F.col("t_day") == 0, "CONFIRMED").otherwise("PENDING").alias("settle_class"), "order_type", "base_date", "t_day",
-        amounts.render(amounts.snap(F.col("value"))).alias("transfer_amount"),
+        amounts.render(amounts.snap(value)).alias("transfer_amount"), "label",
     )
 
 
-#: A ledger's row: name, code, units, date, amount, and perhaps a bank.
-LEDGER_ROW = r"^(.+?)\s+([A-Z]{0,2}[0-9][0-9A-Z-]{2,9})\s+([\d,.]+|-)\s+(\d{4}-\d{2}-\d{2}|\d{1,2}-[A-Za-z]{3}-\d{2})\s+([\d,.]+)\s+([\d,.]+|-)(?:\s+\S.*)?\z"
-SECTION_SUB = r"(?i)^\s*\d+\.\s*(?:subscription|buy|설정|입금|투입|매입)\s*\z"
-SECTION_RED = r"(?i)^\s*\d+\.\s*(?:redemption|sell|해지|출금|인출|환매)\s*\z"
+def table_orders(tabs: DataFrame) -> DataFrame:
+    """Tables with a fund code to orders, one per amount cell; a table whose labels carry noise gives none."""
+    return orders_of(cells_of(tabs).where("has_code AND NOT noise")).drop("label")
+
+
+def row_local_orders(tabs: DataFrame) -> DataFrame:
+    """Orders of tables that name funds but have no codes, with the number of the row among the document's such rows.
+
+    Only rows that give an order are numbered.
+    """
+    o = orders_of(cells_of(tabs).where("NOT has_code"))
+    w = W.partitionBy("doc_id").orderBy("section_no", "block_no", "row_no")
+    return o.withColumn("fund_row", F.dense_rank().over(w))
 
 
 def section_orders(docs: DataFrame) -> DataFrame:
-    """Ledgers under numbered headings: the heading above a row is its direction (filled down over the lines)."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    kind = F.when(F.col("line").rlike(SECTION_SUB), "SUB").when(F.col("line").rlike(SECTION_RED), "RED")
-    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = lines.withColumn("order_type", F.last(kind, ignorenulls=True).over(w)).where(F.col("order_type").isNotNull() & F.col("line").rlike(LEDGER_ROW))
-    part = lambda k: F.regexp_extract("line", LEDGER_ROW, k)
-    value = amounts.parse(part(6))
-    r = r.select("doc_id", "line_no", "order_type", part(2).alias("fund_code"), part(1).alias("fund_name"), dates.normalize(part(4)).alias("base_date"), value.alias("v"))
-    return r.where("v <> 0").select(
+    """The orders of section ledgers (doc_id, text, base_date): documents without a ledger's header aren't cut at all."""
+    low = F.lower("text")
+    d = docs.where(low.contains(ledger.HEADER)).select("doc_id", "base_date", F.transform(F.split("text", "\n"), text.squeeze).alias("lines"))
+    r = d.select("doc_id", F.col("base_date").alias("_b"), F.explode(ledger.rows(F.col("lines"))).alias("z")).select("doc_id", "_b", "z.*")
+    r = r.withColumn("base_date", F.coalesce("base_date", "_b")).where("amount <> 0 AND base_date IS NOT NULL").where(~is_summary(F.col("fund_name")))
+    return r.select(
         "doc_id", "line_no", "fund_code", "fund_name", F.lit("CONFIRMED").alias("settle_class"), "order_type", "base_date", F.lit(0).alias("t_day"),
-        amounts.render(F.when(F.col("order_type") == "RED", -F.col("v")).otherwise(F.col("v"))).alias("transfer_amount"),
+        amounts.render(F.when(F.col("order_type") == "RED", -F.col("amount")).otherwise(F.col("amount"))).alias("transfer_amount"),
     )
 
 
 def buy_sell_orders(docs: DataFrame) -> DataFrame:
     """A BUY & SELL report: two amounts a row, a blank date takes the one above; total rows are left out."""
-    sects = layout.sections(docs.where(F.upper("text").contains("BUY & SELL REPORT")))
-    rows = layout.raw_rows(sects).select("doc_id", "section_no", "block_no", layout.posexplode("rows").alias("row_no", "r")).where("row_no IS NOT NULL")
-    cell = lambda k: F.get("r", F.lit(k))
-    rows = rows.where((F.size("r") >= 9) & cell(3).rlike(r"^\d{4,}\z") & ~layout.is_total(F.col("r")))
-    w = W.partitionBy("doc_id", "section_no", "block_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("base_date", F.last(dates.normalize(cell(0)), ignorenulls=True).over(w))
+    sects = layout.sections(docs.where(F.upper("text").contains("BUY & SELL REPORT")).select("doc_id", "text"))
+    fits = lambda r: (F.size(r) >= 9) & F.get(r, F.lit(3)).rlike(r"^\d{4,}\z") & ~layout.is_total(r)
+    rows = layout.raw_rows(sects).select("doc_id", "section_no", "block_no", F.filter("rows", fits).alias("rows"))
+    rows = rows.withColumn("days", layout.fill_runs(F.transform("rows", lambda r: F.coalesce(dates.normalize(F.get(r, F.lit(0))), F.lit("")))))
+    rows = rows.select("doc_id", "section_no", "block_no", layout.posexplode(F.arrays_zip(F.col("rows").alias("r"), F.col("days").alias("day"))).alias("row_no", "z")).where("row_no IS NOT NULL")
+    cell = lambda k: F.get("z.r", F.lit(k))
     legs = F.array(F.struct(F.lit("SUB").alias("order_type"), amounts.parse(cell(6)).alias("v")), F.struct(F.lit("RED").alias("order_type"), (-amounts.parse(cell(8))).alias("v")))
-    o = rows.select("doc_id", "row_no", cell(3).alias("fund_code"), text.squeeze(cell(4)).alias("fund_name"), "base_date", F.explode(legs).alias("x"))
+    o = rows.select("doc_id", "row_no", cell(3).alias("fund_code"), text.squeeze(cell(4)).alias("fund_name"), text.blank_to_null(F.col("z.day")).alias("base_date"), F.explode(legs).alias("x"))
     return o.where("x.v <> 0").select(
         "doc_id", "row_no", "fund_code", "fund_name", F.lit("CONFIRMED").alias("settle_class"), "x.order_type", "base_date", F.lit(0).alias("t_day"), amounts.render(F.col("x.v")).alias("transfer_amount")
     )
 
 
-def preferred(*sets: DataFrame) -> DataFrame:
-    """Per document the order set with the most rows; of equal size the first given. Each: doc_id and the order columns.
+def preferred(report: DataFrame, tables: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per document one of its readings: a report's rows where it is one; else the ledger's if they are more than the
+    tables', or as many with the same funds, days and amounts and another direction; else the tables'.
 
-    One union and one window over a document's orders, so no set is computed twice.
+    One union and one aggregation by document: a document's orders are bounded by its text.
     """
-    cols = ["doc_id", "fund_code", "fund_name", "settle_class", "order_type", "base_date", "t_day", "transfer_amount"]
-    out = None
-    for k, s in enumerate(sets):
-        tagged = s.select(*cols, F.lit(k).alias("_k"))
-        out = tagged if out is None else out.unionByName(tagged)
-    w = W.partitionBy("doc_id")
-    sizes = F.array(*(F.struct(F.count(F.when(F.col("_k") == k, 1)).over(w).alias("n"), F.lit(-k).alias("k")) for k in range(len(sets))))
-    return out.withColumn("_best", -F.array_max(sizes)["k"]).where("_k = _best").select(*cols)
+    pair = F.struct(*ORDER)
+    core = ["fund_code", "fund_name", "settle_class", "base_date", "t_day"]
+    n = None
+    for k, s in enumerate((report, tables, ledger)):
+        tagged = s.select("doc_id", *ORDER, F.lit(k).alias("_k"))
+        n = tagged if n is None else n.unionByName(tagged)
+    part = lambda k, x: F.array_sort(F.collect_list(F.when(F.col("_k") == k, x)))
+    bare = F.struct(*core, F.regexp_replace("transfer_amount", "^-", "").alias("a"))
+    g = n.groupBy("doc_id").agg(*(part(k, pair).alias(f"s{k}") for k in range(3)), part(1, bare).alias("c1"), part(2, bare).alias("c2"))
+    more = F.size("s2") > F.size("s1")
+    turned = (F.col("s1") != F.col("s2")) & (F.col("c1") == F.col("c2"))
+    chosen = F.when(F.size("s0") > 0, F.col("s0")).when(more | ((F.size("s2") > 0) & turned), F.col("s2")).otherwise(F.col("s1"))
+    return g.select("doc_id", F.explode(chosen).alias("o")).select("doc_id", "o.*")
 
 
 def seeds(tabs: DataFrame) -> DataFrame:
     """The funds of a document's tables that have an amount: (doc_id, fund_code, fund_name), each once."""
-    return cells_of(tabs).where("fund_name IS NOT NULL").select("doc_id", "fund_code", "fund_name").distinct()
+    return cells_of(tabs).where("fund_code IS NOT NULL AND fund_name IS NOT NULL").select("doc_id", "fund_code", "fund_name").distinct()

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Texts of documents that say they hold no order.
-NO_ORDER_MARKERS = ["해당사항 없음", "거래내역 없음", "주문 없음", "no order", "no transaction", "nothing to report"]
+NO_ORDER_MARKERS = [
+    "지시없음", "지시 없음", "거래없음", "거래 없음", "설정해지 지시없음", "자금설정해지 지시없음", "no instruction", "no instructions", "no order", "no orders",
+    "no transaction", "no transactions",
+]
 #: An example of a map of parties: name, tokens of the text (all must occur), tokens of the file name (one must).
 PARTIES = [
     ("account-summary", ["특별계정", "자금", "집계"], []),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, labels, text
 from ..operators import builders, coverage, joins, layout, orders, sets
 from . import sql as S
+from . import table_sql as T
 from .order_queries import _DEDUPED, _ITEMS, _ORDERS, _live, items
 from .tables import table
 
@@ -20,6 +21,10 @@ def tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.tables(layout.raw_rows(layout.sections(docs(spark, sf_dir))))
 
 
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builders.recovered(docs(spark, sf_dir))
+
+
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = layout.sections(docs(spark, sf_dir))
     return s.select("doc_id", "section_no", layout.marker(F.col("section")).alias("kind"), F.size(F.split("section", "\n")).alias("n_lines"))
@@ -35,16 +40,26 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabs(spark, sf_dir).where("header_at IS NOT NULL").select("doc_id", "section_no", "block_no", "header_at", F.array_join("header", "¦").alias("header"), F.array_join("roles", "¦").alias("roles"))
+    t = tabs(spark, sf_dir).select("doc_id", "section_no", "block_no", F.array(F.struct("header_at", "data_at", "header", "code_at", "name_at", "manager_at")).alias("h"))
+    t = t.select("doc_id", "section_no", "block_no", layout.posexplode("h").alias("p", "h")).where("h.header_at IS NOT NULL")
+    return t.select("doc_id", "section_no", "block_no", "h.header_at", "h.data_at", F.array_join("h.header", "¦").alias("header"), "h.code_at", "h.name_at", "h.manager_at")
 
 
 def body_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.body_rows(tabs(spark, sf_dir)).select("doc_id", "section_no", "block_no", "row_no", "code", "name", "manager", "total")
+    return layout.body_rows(tabs(spark, sf_dir)).select("doc_id", "section_no", "block_no", "row_no", "code", "name", "manager", "total", "data", "kept")
 
 
 def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = layout.body_rows(tabs(spark, sf_dir)).select("doc_id", "section_no", "block_no", "row_no", "code", "manager", "total")
-    return layout.fill_down(b, ["code", "manager"])
+    """Codes and managers of body rows, blank ones filled from the row above (merged cells)."""
+    b = layout.body_rows(tabs(spark, sf_dir))
+    part = lambda at: text.blank_to_null(text.squeeze(layout.cell_at(F.col("row"), F.col(at))))
+    return b.select("doc_id", "section_no", "block_no", "row_no", part("code_at").alias("code"), part("manager_at").alias("manager"), "total")
+
+
+def structured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as the structured text shows them: rows and columns of orders only."""
+    t = layout.pruned(tabs(spark, sf_dir)).select("doc_id", "section_no", "block_no", layout.posexplode(F.concat(F.array("header"), "body")).alias("row_no", "row")).where("row IS NOT NULL")
+    return t.select("doc_id", "section_no", "block_no", "row_no", F.array_join("row", "¦").alias("cells"))
 
 
 def neighbour_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,26 +68,26 @@ def neighbour_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builders.base_dates(docs(spark, sf_dir))
+    return builders.dated(docs(spark, sf_dir).where("text IS NOT NULL")).select("doc_id", "base_date", F.col("date_source").alias("source"))
 
 
 def amount_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = builders.cells_of(tabs(spark, sf_dir))
-    return c.select("doc_id", "section_no", "block_no", "row_no", "col_no", "fund_code", "label", "direction", "row_direction", "net", "t_day", "beaten", F.col("amount").cast("decimal(20,4)").cast("string").alias("amount"))
+    c = builders.cells_of(recovered(spark, sf_dir))
+    return c.select("doc_id", "section_no", "block_no", "row_no", "col_no", "fund_code", "fund_name", "label", "t_day", "signed", "by_row", "order_type", F.col("amount").cast("decimal(20,4)").cast("string").alias("amount"))
 
 
 def table_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builders.table_orders(tabs(spark, sf_dir), builders.base_dates(docs(spark, sf_dir)))
+    return builders.table_orders(recovered(spark, sf_dir))
 
 
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.counts(tabs(spark, sf_dir))
+    return coverage.counts(tabs(spark, sf_dir), docs(spark, sf_dir))
 
 
 def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose tables give another number of orders than they were loaded with."""
     p = table(spark, sf_dir, "task_payloads").select(F.col("payload_id").alias("doc_id"), "expected_order_count")
-    got = p.join(coverage.counts(tabs(spark, sf_dir)), "doc_id", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)).cast("long"))
+    got = p.join(coverage.counts(tabs(spark, sf_dir), docs(spark, sf_dir)), "doc_id", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)).cast("long"))
     return got.where("expected_order_count IS NULL OR expected_order_count <> n_cells")
 
 
@@ -84,18 +99,18 @@ def scope_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fund_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builders.seeds(tabs(spark, sf_dir))
+    return builders.seeds(recovered(spark, sf_dir))
 
 
 def missing_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Funds of a document's tables that its stage items don't hold."""
     have = items(spark, sf_dir).select("doc_id", F.coalesce(text.squeeze(F.col("fund_code")), F.lit("")).alias("fund_code")).distinct()
-    return builders.seeds(tabs(spark, sf_dir)).join(have, ["doc_id", "fund_code"], "left_anti").select("doc_id", "fund_code", "fund_name")
+    return builders.seeds(recovered(spark, sf_dir)).join(have, ["doc_id", "fund_code"], "left_anti").select("doc_id", "fund_code", "fund_name")
 
 
 def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with the direction that the document's own tables give their fund and amount, where it is one."""
-    c = builders.cells_of(tabs(spark, sf_dir)).withColumn("order_type", F.coalesce("direction", "row_direction"))
+    c = builders.cells_of(recovered(spark, sf_dir)).where("fund_code IS NOT NULL")
     hints = orders.direction_hints(c.withColumn("unsigned", amounts.render(F.abs("amount"))), ["doc_id", "fund_code", "unsigned"])
     own = _live(spark, sf_dir).withColumn("unsigned", amounts.unsigned(F.col("transfer_amount"))).select("doc_id", "ord", F.col("id_code").alias("fund_code"), "unsigned", F.col("order_type").alias("own_type"))
     return own.join(hints, ["doc_id", "fund_code", "unsigned"], "left").select("doc_id", "ord", "fund_code", "own_type", F.col("order_type").alias("hinted_type"))
@@ -104,7 +119,7 @@ def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fan_out_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fund of a document with the document's date; items without a date take it."""
     i = items(spark, sf_dir).select("doc_id", "ord", "base_date")
-    return joins.fan_out(i, builders.base_dates(docs(spark, sf_dir)).select("doc_id", F.col("base_date").alias("document_date")))
+    return joins.fan_out(i, builders.dated(docs(spark, sf_dir)).select("doc_id", F.col("base_date").alias("document_date")))
 
 
 def sibling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +129,7 @@ def sibling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items matched to table cells on fund, day and direction, kept only where exactly one cell fits."""
-    cells = builders.table_orders(tabs(spark, sf_dir), builders.base_dates(docs(spark, sf_dir)))
+    cells = builders.table_orders(recovered(spark, sf_dir))
     i = _live(spark, sf_dir).select("doc_id", "ord", F.col("id_code").alias("fund_code"), "t_day", "order_type", "canonical")
     return joins.match_unique(i, cells.select("doc_id", "fund_code", "t_day", "order_type", F.col("transfer_amount").alias("cell_amount")), ["doc_id", "fund_code", "t_day", "order_type"], "cell_amount")
 
@@ -122,7 +137,7 @@ def slot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: do the orders from evidence equal, as multisets, those read off its tables?"""
     a = orders.aggregate(_live(spark, sf_dir))
-    b = builders.table_orders(tabs(spark, sf_dir), builders.base_dates(docs(spark, sf_dir)))
+    b = builders.table_orders(recovered(spark, sf_dir))
     keys = ["fund_code", "settle_class", "order_type", "base_date", "t_day", "transfer_amount"]
     return sets.multiset_difference(a, b, "doc_id", keys)
 
@@ -130,14 +145,14 @@ def corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corroborated_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As `corroborated`, date and day ignored."""
     a = orders.aggregate(_live(spark, sf_dir))
-    b = builders.table_orders(tabs(spark, sf_dir), builders.base_dates(docs(spark, sf_dir)))
+    b = builders.table_orders(recovered(spark, sf_dir))
     return sets.multiset_difference(a, b, "doc_id", ["fund_code", "order_type", "transfer_amount"])
 
 
 def family_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the funds of the evidence and of the tables: shared, missing, added."""
     a = _live(spark, sf_dir).select("doc_id", F.col("id_code").alias("fund"))
-    b = builders.cells_of(tabs(spark, sf_dir)).select("doc_id", F.col("fund_code").alias("fund"))
+    b = builders.cells_of(recovered(spark, sf_dir)).where("fund_code IS NOT NULL").select("doc_id", F.col("fund_code").alias("fund"))
     return sets.overlap(a, b, "doc_id", "fund")
 
 
@@ -192,76 +207,15 @@ def no_order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        section_split, pipe_blocks, table_cells, table_headers, body_rows, fill_down, neighbour_identity, document_dates, amount_unpivot, table_orders, coverage_counts, coverage_gap,
+        section_split, pipe_blocks, table_cells, table_headers, body_rows, fill_down, structured_tables, neighbour_identity, document_dates, amount_unpivot, table_orders, coverage_counts, coverage_gap,
         scope_orders, fund_seeds, missing_seeds, hint_join, fan_out_dates, sibling_complete, slot_match, corroborated, corroborated_core, family_overlap, stage_partial,
         markdown_cells, markdown_loss, rendered_tables, headings, packed_chunks, counterparty_match, no_order_documents,
     )
 }
 
 
-def _sections(field: str, delimiter: str) -> str:
-    split = f"string_split({field}, '{delimiter}')"
-    return rf"sec AS (SELECT doc_id, CAST(i AS INTEGER) AS section_no, s AS section FROM (SELECT payload_id AS doc_id, unnest({split}) AS s, generate_subscripts({split}, 1) AS i FROM task_payloads WHERE {field} IS NOT NULL) WHERE trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')"
-
-
-def _blocks(pattern: str) -> str:
-    found = f"regexp_extract_all(section, '{pattern.replace('(?md)', '(?m)')}')"
-    return rf"""blk AS (SELECT doc_id, section_no, CAST(i AS INTEGER) AS block_no, string_split(regexp_replace(b, '\n$', ''), chr(10)) AS lines FROM (SELECT doc_id, section_no, unnest({found}) AS b, generate_subscripts({found}, 1) AS i FROM sec)),
-lin AS (SELECT doc_id, section_no, block_no, unnest(lines) AS line, CAST(generate_subscripts(lines, 1) AS INTEGER) AS row_no FROM blk)"""
-
-
-_CELLS = rf"""{_sections("raw_text", layout.RAW_DELIMITER)}, {_blocks(layout.RAW_BLOCKS)},
-prt AS (SELECT doc_id, section_no, block_no, row_no, string_split(regexp_replace(line, ' \|\s*$', ' | '), ' | ') AS parts FROM lin),
-cel AS (SELECT doc_id, section_no, block_no, row_no, CAST(generate_subscripts(parts, 1) AS INTEGER) AS col_no, trim(unnest(parts), chr(32) || chr(9) || chr(13) || chr(160) || chr(8195) || chr(8199) || chr(8201) || chr(8239) || chr(12288) || chr(133)) AS cell FROM prt)"""
-_WORDS = f"len(list_distinct(regexp_extract_all(j, '{'|'.join(layout.HEADER_WORDS)}')))"
-_ROLE = (
-    f"CASE WHEN {S.contains_any('k', labels.MANAGER_LABELS)} THEN 'manager' WHEN {S.contains_any('k', labels.CODE_LABELS)} THEN 'code' "
-    f"WHEN ({S.contains_any('t', [*labels.EXPLICIT_LABELS, *labels.SHORT_AMOUNTS])} OR {S.contains_any('t', labels.NET_EVIDENCE)} OR k IN ({S.quoted(labels.GENERIC_AMOUNTS)}) OR ({S.is_schedule('t')} AND {S.contains_any('t', labels.AMOUNT_WORDS)})) AND NOT {S.contains_any('t', labels.NON_AMOUNT)} THEN 'amount' "
-    "WHEN k IN ('구분', '내용', '적요', 'transactiontype', 'content') THEN 'context' WHEN k IN ('비고', 'remarks', 'note', 'memo') THEN 'remarks' "
-    f"WHEN {S.contains_any('k', ['펀드명', 'fundname', '상품명'])} OR k = '펀드' THEN 'name' ELSE '' END"
-)
 _B = "doc_id, section_no, block_no"
-_KEYED = (
-    r"CASE WHEN regexp_matches(t, '[td]\s*\+\s*[0-9]+') THEN concat('T+', regexp_extract(t, '[td]\s*\+\s*([0-9]+)', 1)) WHEN regexp_matches(t, '익+영업일') THEN concat('T+', CAST(length(regexp_extract(t, '(익+)영업일', 1)) AS VARCHAR)) "
-    r"WHEN regexp_matches(t, '제\s*[0-9]+\s*영업일') THEN concat('T+', regexp_extract(t, '제\s*([0-9]+)\s*영업일', 1)) WHEN contains(t, 't일') THEN 'T0' WHEN regexp_matches(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN regexp_extract(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') "
-    r"WHEN regexp_matches(t, '[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일') THEN concat('M', lpad(regexp_extract(t, '([0-9]{1,2})\s*월', 1), 2, '0'), 'D', lpad(regexp_extract(t, '월\s*([0-9]{1,2})', 1), 2, '0')) ELSE 'COL' END"
-)
-_TABLES = rf"""{_CELLS},
-sco AS (SELECT {_B}, row_no, lower(string_agg(cell, ' ' ORDER BY col_no)) AS j, count(*) FILTER (cell <> '') AS filled, count(*) FILTER (regexp_matches(cell, '[A-Za-z가-힣]')) AS texts, max(col_no) AS w FROM cel GROUP BY {_B}, row_no),
-sc2 AS (SELECT *, CASE WHEN filled >= 2 AND ({_WORDS}) > 0 THEN ({_WORDS}) * 2 + CASE WHEN texts >= 2 THEN texts ELSE 0 END ELSE 0 END AS score FROM sco),
-tab AS (SELECT {_B}, arg_max(row_no, score * 100000 - row_no) AS header_at, max(w) AS width, max(score) AS best FROM sc2 GROUP BY {_B} HAVING max(score) > 0),
-hdr AS (SELECT tab.doc_id, tab.section_no, tab.block_no, tab.header_at, g.col_no, coalesce(c.cell, '') AS label FROM tab CROSS JOIN LATERAL (SELECT CAST(unnest(generate_series(1, tab.width)) AS INTEGER) AS col_no) g
- LEFT JOIN cel c ON c.doc_id = tab.doc_id AND c.section_no = tab.section_no AND c.block_no = tab.block_no AND c.row_no = tab.header_at AND c.col_no = g.col_no),
-hd2 AS (SELECT *, lower(label) AS t, {S.compact("label")} AS k FROM hdr),
-rol AS (SELECT *, {_ROLE} AS role, {S.contains_any("t", labels.NET_LABELS)} AS net, {S.direction("label")} AS direction, {_KEYED} AS key FROM hd2),
-fut AS (SELECT {_B}, key, row_number() OVER (PARTITION BY {_B} ORDER BY min(col_no)) AS nth FROM rol WHERE role = 'amount' AND regexp_matches(key, '^([0-9]{{4}}-|M[0-9])') GROUP BY {_B}, key),
-spe AS (SELECT r.*, CAST(CASE WHEN regexp_full_match(r.key, 'T\+[0-9]+') THEN TRY_CAST(substring(r.key, 3) AS INTEGER) ELSE coalesce(f.nth, 0) END AS INTEGER) AS t_day FROM rol r LEFT JOIN fut f ON f.doc_id = r.doc_id AND f.section_no = r.section_no AND f.block_no = r.block_no AND f.key = r.key),
-sp2 AS (SELECT *, NOT net AND bool_or(net AND role = 'amount') OVER (PARTITION BY {_B}, t_day) AS beaten FROM spe),
-bod AS (SELECT c.doc_id, c.section_no, c.block_no, c.row_no - tab.header_at AS row_no, c.col_no, c.cell FROM cel c JOIN tab USING (doc_id, section_no, block_no) WHERE c.row_no > tab.header_at),
-rw0 AS (SELECT {_B}, row_no, list(cell ORDER BY col_no) FILTER (cell <> '') AS filled FROM bod GROUP BY {_B}, row_no),
-fst AS (SELECT {_B}, role, min(col_no) AS col_no FROM rol WHERE role <> '' GROUP BY {_B}, role),
-rws AS (SELECT r.doc_id, r.section_no, r.block_no, r.row_no,
- (SELECT count(*) > 0 FROM (SELECT unnest(filled[1:3]) AS x) WHERE regexp_matches(x, '{layout.TOTAL.replace(chr(92) + "z", "$").replace("|sum)" + chr(92) + "b", "|sum)(?:[^0-9A-Za-z_가-힣]|$)")}') AND x NOT IN ({S.quoted(layout.ORDER_SUBTOTALS)})) AS total,
- nullif({S.squeeze("(SELECT cell FROM bod b JOIN fst f USING (doc_id, section_no, block_no, col_no) WHERE f.role = 'code' AND b.doc_id = r.doc_id AND b.section_no = r.section_no AND b.block_no = r.block_no AND b.row_no = r.row_no)")}, '') AS code,
- nullif({S.squeeze("(SELECT cell FROM bod b JOIN fst f USING (doc_id, section_no, block_no, col_no) WHERE f.role = 'name' AND b.doc_id = r.doc_id AND b.section_no = r.section_no AND b.block_no = r.block_no AND b.row_no = r.row_no)")}, '') AS name,
- nullif({S.squeeze("(SELECT cell FROM bod b JOIN fst f USING (doc_id, section_no, block_no, col_no) WHERE f.role = 'manager' AND b.doc_id = r.doc_id AND b.section_no = r.section_no AND b.block_no = r.block_no AND b.row_no = r.row_no)")}, '') AS manager
- FROM rw0 r)"""
-_NUMBER = rf"""CASE WHEN regexp_full_match(x, '[+-]?[0-9][0-9,]*(\.[0-9]+)?[억만천]?') THEN CAST(TRY_CAST(regexp_replace(replace(x, ',', ''), '[억만천]$', '') AS DECIMAL(24,6)) * CASE regexp_extract(x, '[억만천]$') WHEN '억' THEN 100000000 WHEN '만' THEN 10000 WHEN '천' THEN 1000 ELSE 1 END AS DECIMAL(38,10)) END"""
-_UNPIVOT = rf"""{_TABLES},
-ctx AS (SELECT {_B}, row_no, arg_min(d, col_no) FILTER (d IS NOT NULL) AS row_direction FROM (SELECT b.*, {S.direction("b.cell")} AS d FROM bod b JOIN rol r USING (doc_id, section_no, block_no, col_no) WHERE r.role = 'context') GROUP BY {_B}, row_no),
-hc AS (SELECT {_B}, bool_or(role = 'context') AS has_context FROM rol GROUP BY {_B}),
-am0 AS (SELECT b.doc_id, b.section_no, b.block_no, b.row_no, b.col_no, r.code AS fund_code, r.name AS fund_name, s.label, s.direction, c.row_direction, s.net, s.t_day, s.beaten, h.has_context,
- regexp_replace(regexp_replace(b.cell, '[\s\p{{Z}}]+', '', 'g'), '(?i)KRW|[₩￦원]', '', 'g') AS x
- FROM bod b JOIN sp2 s USING (doc_id, section_no, block_no, col_no) JOIN rws r USING (doc_id, section_no, block_no, row_no) JOIN hc h USING (doc_id, section_no, block_no)
- LEFT JOIN ctx c ON c.doc_id = b.doc_id AND c.section_no = b.section_no AND c.block_no = b.block_no AND c.row_no = b.row_no WHERE s.role = 'amount' AND NOT r.total AND r.code IS NOT NULL),
-am AS (SELECT * FROM (SELECT *, {_NUMBER} AS amount FROM am0) WHERE amount <> 0)"""
-_DATES = rf"""dl AS (SELECT payload_id AS doc_id, list_distinct(list_transform(regexp_extract_all(raw_text, '{builders.DATE_LINE.replace("(?md)", "(?m)")}', 1), lambda z: {S.year_first("z")})) AS found, nullif(regexp_extract(raw_text, '{builders.MAIL_DATE.replace("(?md)", "(?m)")}', 1), '') AS mail FROM task_payloads WHERE raw_text IS NOT NULL),
-dd AS (SELECT doc_id, CASE WHEN len(found) = 1 THEN found[1] WHEN len(found) = 0 THEN mail END AS base_date, CAST(len(found) AS INTEGER) AS candidates FROM dl)"""
-_TABLE_ORDERS = f"""{_UNPIVOT}, {_DATES},
-k AS (SELECT *, CASE WHEN net THEN CASE WHEN amount < 0 THEN 'RED' ELSE 'SUB' END ELSE coalesce(direction, row_direction) END AS order_type FROM am WHERE NOT beaten OR has_context),
-v AS (SELECT *, CASE WHEN net THEN amount WHEN order_type = 'RED' THEN -abs(amount) ELSE abs(amount) END AS value FROM k WHERE order_type IS NOT NULL),
-tor AS (SELECT doc_id, section_no, block_no, row_no, col_no, fund_code, coalesce(fund_name, '-') AS fund_name, CASE WHEN t_day = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS settle_class, order_type, base_date, t_day, {S.render(S.snap("value"))} AS transfer_amount FROM v JOIN dd USING (doc_id) WHERE base_date IS NOT NULL)"""
-_COVERED = f"""{_UNPIVOT}, cov AS (SELECT DISTINCT doc_id, fund_code AS fund, concat(CASE WHEN t_day = 0 THEN 'T0' ELSE concat('T+', CAST(t_day AS VARCHAR)) END, CASE WHEN net THEN '' ELSE coalesce('_' || coalesce(direction, row_direction), '') END) AS bucket FROM am WHERE NOT beaten OR has_context)"""
+_MARKERS = ["지시없음", "지시 없음", "거래없음", "거래 없음", "설정해지 지시없음", "자금설정해지 지시없음", "no instruction", "no instructions", "no order", "no orders", "no transaction", "no transactions"]
 
 
 def _difference(keys: list[str]) -> str:
@@ -272,34 +226,35 @@ df AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.n, 0) AS na, co
 SELECT doc_id, CAST(sum(greatest(na - nb, 0)) AS BIGINT) AS only_left, CAST(sum(greatest(nb - na, 0)) AS BIGINT) AS only_right, CAST(sum(least(na, nb)) AS BIGINT) AS shared FROM df GROUP BY doc_id"""
 
 
-_TYPED = "concat('T', CAST(t_day AS VARCHAR))"
+MD = r"(?m)(?:^\|.*$\n?)+"
 SQL = {
-    "section_split": f"WITH {_sections('raw_text', layout.RAW_DELIMITER)} SELECT doc_id, section_no, nullif(regexp_extract(section, '^\\s*\\[(PAGE|SHEET|HTML|EML|MHT)\\b[^\\]\\n]*\\]', 1), '') AS kind, CAST(len(string_split(section, chr(10))) AS INTEGER) AS n_lines FROM sec",
-    "pipe_blocks": f"WITH {_CELLS} SELECT {_B}, CAST(max(row_no) AS INTEGER) AS n_rows, CAST(max(col_no) AS INTEGER) AS width FROM cel GROUP BY {_B}",
-    "table_cells": f"WITH {_CELLS} SELECT {_B}, row_no, col_no, cell FROM cel",
-    "table_headers": f"WITH {_TABLES} SELECT {_B}, header_at, string_agg(label, '¦' ORDER BY col_no) AS header, string_agg(role, '¦' ORDER BY col_no) AS roles FROM rol GROUP BY {_B}, header_at",
-    "body_rows": f"WITH {_TABLES} SELECT {_B}, row_no, code, name, manager, total FROM rws",
-    "fill_down": f"WITH {_TABLES} SELECT {_B}, row_no, last_value(CASE WHEN NOT total THEN code END IGNORE NULLS) OVER w AS code, last_value(CASE WHEN NOT total THEN manager END IGNORE NULLS) OVER w AS manager, total FROM rws WINDOW w AS (PARTITION BY {_B} ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
-    "neighbour_identity": f"WITH {_TABLES} SELECT {_B}, row_no, coalesce(code, lag(code) OVER w, lead(code) OVER w) AS code, code IS NULL AS borrowed FROM rws WINDOW w AS (PARTITION BY {_B} ORDER BY row_no)",
-    "document_dates": f"WITH {_DATES} SELECT doc_id, base_date, candidates FROM dd",
-    "amount_unpivot": f"WITH {_UNPIVOT} SELECT {_B}, row_no, col_no, fund_code, label, direction, row_direction, net, t_day, beaten, CAST(CAST(amount AS DECIMAL(20,4)) AS VARCHAR) AS amount FROM am",
-    "table_orders": f"WITH {_TABLE_ORDERS} SELECT * FROM tor",
-    "coverage_counts": f"WITH {_COVERED} SELECT doc_id, count(*) AS n_cells FROM cov GROUP BY doc_id",
-    "coverage_gap": f"WITH {_COVERED}, n AS (SELECT doc_id, count(*) AS n_cells FROM cov GROUP BY doc_id) SELECT payload_id AS doc_id, expected_order_count, coalesce(n_cells, 0) AS n_cells FROM task_payloads LEFT JOIN n ON n.doc_id = payload_id WHERE expected_order_count IS NULL OR expected_order_count <> coalesce(n_cells, 0)",
-    "scope_orders": f"SELECT o.payload_id AS doc_id, order_id FROM order_extractions o LEFT JOIN task_payloads p ON p.payload_id = o.payload_id WHERE p.target_fund_scope IS NULL OR p.target_fund_scope.include_all_funds OR coalesce(list_contains(p.target_fund_scope.fund_codes, o.fund_code), false) OR coalesce(list_contains(p.target_fund_scope.fund_names, o.fund_name), false) OR coalesce(list_contains(p.target_fund_scope.canonical_fund_names, {S.name_key('o.fund_name')}), false)",
-    "fund_seeds": f"WITH {_UNPIVOT} SELECT DISTINCT doc_id, fund_code, fund_name FROM am WHERE fund_name IS NOT NULL",
-    "missing_seeds": f"WITH {_UNPIVOT}, h AS (SELECT DISTINCT payload_id AS doc_id, coalesce({S.squeeze('fund_code')}, '') AS fund_code FROM resolved_items) SELECT DISTINCT doc_id, fund_code, fund_name FROM am WHERE fund_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = am.doc_id AND h.fund_code = am.fund_code)",
-    "hint_join": f"WITH {_UNPIVOT}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, hi AS (SELECT doc_id, fund_code, {S.render('CAST(abs(amount) AS DECIMAL(38,10))')} AS u, min(coalesce(direction, row_direction)) AS h FROM am WHERE coalesce(direction, row_direction) IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT coalesce(direction, row_direction)) = 1) SELECT c.doc_id, c.ord, c.id_code AS fund_code, c.order_type AS own_type, h AS hinted_type FROM c LEFT JOIN hi ON hi.doc_id = c.doc_id AND hi.fund_code = c.id_code AND hi.u = ltrim(c.canonical, '+-') WHERE drop_reason IS NULL",
-    "fan_out_dates": f"WITH {_ITEMS}, {_DATES} SELECT i.doc_id, i.ord, coalesce(i.base_date, dd.base_date) AS base_date, i.base_date IS NULL AND dd.base_date IS NOT NULL AS taken FROM i LEFT JOIN dd ON dd.doc_id = i.doc_id",
+    "section_split": f"WITH {T.sections('raw_text', T.RAW)} SELECT doc_id, section_no, nullif(regexp_extract(section, '^\\s*\\[(PAGE|SHEET|HTML|EML|MHT)\\b[^\\]\\n]*\\]', 1), '') AS kind, CAST(len(string_split(section, chr(10))) AS INTEGER) AS n_lines FROM sec",
+    "pipe_blocks": f"WITH {T.CELLS} SELECT {_B}, CAST(max(row_no) AS INTEGER) AS n_rows, CAST(max(col_no) AS INTEGER) AS width FROM cel GROUP BY {_B}",
+    "table_cells": f"WITH {T.CELLS} SELECT {_B}, row_no, col_no, cell FROM cel",
+    "table_headers": f"WITH {T.GRID}, {T.LABELS} SELECT t.doc_id, t.section_no, t.block_no, t.header_at, t.data_at, string_agg(h.label, '¦' ORDER BY h.col_no) AS header, any_value(c.code_at) AS code_at, any_value(c.name_at) AS name_at, any_value(c.manager_at) AS manager_at FROM tab t JOIN hdr h USING (doc_id, section_no, block_no) JOIN cat c USING (doc_id, section_no, block_no) GROUP BY t.doc_id, t.section_no, t.block_no, t.header_at, t.data_at",
+    "body_rows": f"WITH {T.ROWS} SELECT {_B}, row_no, code, name, manager, total, data, kept FROM rws",
+    "fill_down": f"WITH {T.ROWS} SELECT {_B}, row_no, filled_code AS code, filled_manager AS manager, total FROM rws",
+    "neighbour_identity": f"WITH {T.ROWS} SELECT {_B}, row_no, coalesce(code, lag(code) OVER w, lead(code) OVER w) AS code, code IS NULL AS borrowed FROM rws WINDOW w AS (PARTITION BY {_B} ORDER BY row_no)",
+    "document_dates": f"WITH {T.DATES} SELECT doc_id, base_date, source FROM dd",
+    "structured_tables": f"WITH {T.PRUNED} SELECT {_B}, row_no, string_agg(v, '¦' ORDER BY col_no) AS cells FROM pce GROUP BY {_B}, row_no UNION ALL SELECT {_B}, 0, string_agg(label, '¦' ORDER BY col_no) FROM pco GROUP BY {_B}",
+    "amount_unpivot": f"WITH {T.UNPIVOT} SELECT {_B}, row_no, col_no, fund_code, fund_name, label, t_day, signed, by_row, order_type, CAST(CAST(amount AS DECIMAL(20,4)) AS VARCHAR) AS amount FROM am",
+    "table_orders": f"WITH {T.TABLE_ORDERS} SELECT * FROM tor",
+    "coverage_counts": f"WITH {T.COVERED} SELECT doc_id, count(*) AS n_cells FROM cov GROUP BY doc_id",
+    "coverage_gap": f"WITH {T.COVERED}, n AS (SELECT doc_id, count(*) AS n_cells FROM cov GROUP BY doc_id) SELECT payload_id AS doc_id, expected_order_count, coalesce(n_cells, 0) AS n_cells FROM task_payloads LEFT JOIN n ON n.doc_id = payload_id WHERE expected_order_count IS NULL OR expected_order_count <> coalesce(n_cells, 0)",
+    "scope_orders": f"SELECT o.payload_id AS doc_id, order_id FROM order_extractions o LEFT JOIN task_payloads p ON p.payload_id = o.payload_id WHERE p.target_fund_scope IS NULL OR NOT coalesce(p.target_fund_scope.manager_column_present, false) OR coalesce(p.target_fund_scope.include_all_funds, false) OR coalesce(list_contains(p.target_fund_scope.fund_codes, o.fund_code), false) OR coalesce(list_contains(p.target_fund_scope.fund_names, o.fund_name), false) OR coalesce(list_contains(p.target_fund_scope.canonical_fund_names, {S.name_key('o.fund_name')}), false)",
+    "fund_seeds": f"WITH {T.UNPIVOT} SELECT DISTINCT doc_id, fund_code, fund_name FROM am WHERE fund_code IS NOT NULL AND fund_name IS NOT NULL",
+    "missing_seeds": f"WITH {T.UNPIVOT}, h AS (SELECT DISTINCT payload_id AS doc_id, coalesce({S.squeeze('fund_code')}, '') AS fund_code FROM resolved_items) SELECT DISTINCT doc_id, fund_code, fund_name FROM am WHERE fund_code IS NOT NULL AND fund_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = am.doc_id AND h.fund_code = am.fund_code)",
+    "hint_join": f"WITH {T.UNPIVOT}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, hi AS (SELECT doc_id, fund_code, {S.render('CAST(abs(amount) AS DECIMAL(38,10))')} AS u, min(order_type) AS h FROM am WHERE order_type IS NOT NULL AND fund_code IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT order_type) = 1) SELECT c.doc_id, c.ord, c.id_code AS fund_code, c.order_type AS own_type, h AS hinted_type FROM c LEFT JOIN hi ON hi.doc_id = c.doc_id AND hi.fund_code = c.id_code AND hi.u = ltrim(c.canonical, '+-') WHERE drop_reason IS NULL",
+    "fan_out_dates": f"WITH {_ITEMS}, {T.DATES} SELECT i.doc_id, i.ord, coalesce(i.base_date, dd.base_date) AS base_date, i.base_date IS NULL AND dd.base_date IS NOT NULL AS taken FROM i LEFT JOIN dd ON dd.doc_id = i.doc_id",
     "sibling_complete": f"""WITH {_ITEMS}, k AS (SELECT *, coalesce({S.squeeze("fund_code")}, '') AS id_code, CASE WHEN coalesce({S.squeeze("fund_code")}, '') = '' THEN coalesce({S.squeeze("fund_name")}, '') ELSE '' END AS id_name FROM i),
 s AS (SELECT *, bool_or(transfer_amount IS NOT NULL) OVER w AS a, bool_or(base_date IS NOT NULL) OVER w AS b, bool_or(settle_class IS NOT NULL) OVER w AS c FROM k WINDOW w AS (PARTITION BY doc_id, id_code, id_name, slot_id))
 SELECT doc_id, ord, f AS field, has FROM (SELECT doc_id, ord, 'transfer_amount' AS f, a AS has FROM s WHERE transfer_amount IS NULL UNION ALL SELECT doc_id, ord, 'base_date', b FROM s WHERE base_date IS NULL UNION ALL SELECT doc_id, ord, 'settle_class', c FROM s WHERE settle_class IS NULL)""",
-    "slot_match": f"WITH {_TABLE_ORDERS}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, u AS (SELECT doc_id, fund_code, t_day, order_type, min(transfer_amount) AS cell_amount FROM tor GROUP BY 1, 2, 3, 4 HAVING count(*) = 1) SELECT c.doc_id, c.ord, c.id_code AS fund_code, c.t_day, c.order_type, c.canonical, u.cell_amount FROM c JOIN u ON u.doc_id = c.doc_id AND u.fund_code = c.id_code AND u.t_day = c.t_day AND u.order_type = c.order_type WHERE drop_reason IS NULL",
-    "corroborated": f"WITH {_TABLE_ORDERS}, {_ORDERS}, {_difference(['fund_code', 'settle_class', 'order_type', 'base_date', 't_day', 'transfer_amount'])}",
-    "corroborated_core": f"WITH {_TABLE_ORDERS}, {_ORDERS}, {_difference(['fund_code', 'order_type', 'transfer_amount'])}",
-    "family_overlap": f"WITH {_UNPIVOT}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, x AS (SELECT DISTINCT doc_id, id_code AS fund FROM c WHERE drop_reason IS NULL), y AS (SELECT DISTINCT doc_id, fund_code AS fund FROM am), z AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.fund IS NOT NULL AS l, y.fund IS NOT NULL AS r FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.fund = y.fund) SELECT doc_id, count(*) FILTER (l AND r) AS shared, count(*) FILTER (l AND NOT r) AS only_left, count(*) FILTER (r AND NOT l) AS only_right FROM z GROUP BY doc_id",
-    "markdown_cells": rf"""WITH {_sections("markdown_text", layout.MARKDOWN_DELIMITER)}, {_blocks(layout.MARKDOWN_BLOCKS)}, p AS (SELECT *, string_split_regex(regexp_replace(regexp_replace(trim(line), '^\|\s*', ''), '\s*\|$', ''), '\s*\|\s*') AS parts FROM lin WHERE NOT regexp_full_match(line, '[|\s:\-]+')) SELECT doc_id, CAST(sum(len(parts)) AS BIGINT) AS n_cells, count(DISTINCT concat(section_no, '/', block_no)) AS n_blocks FROM p GROUP BY doc_id""",
-    "markdown_loss": f"WITH {_CELLS}, u AS (SELECT DISTINCT doc_id, cell FROM cel WHERE cell <> '') SELECT doc_id, CAST(count(*) AS INTEGER) AS n_cells, CAST(count(*) FILTER (NOT contains(markdown_text, cell)) AS INTEGER) AS n_missing FROM u JOIN task_payloads ON payload_id = doc_id WHERE markdown_text IS NOT NULL GROUP BY doc_id",
-    "rendered_tables": f"WITH {_CELLS}, l AS (SELECT {_B}, row_no, concat('| ', string_agg(replace(cell, '|', '\\|'), ' | ' ORDER BY col_no), ' |') AS line, concat('| ', string_agg('---', ' | '), ' |') AS dashes FROM cel GROUP BY {_B}, row_no) SELECT {_B}, concat_ws(chr(10), arg_min(line, row_no), arg_min(dashes, row_no), coalesce(string_agg(line, chr(10) ORDER BY row_no) FILTER (row_no > 1), '')) AS table_text FROM l GROUP BY {_B}",
-    "no_order_documents": f"SELECT payload_id, {S.contains_any('lower(raw_text)', joins.NO_ORDER_MARKERS)} AS no_order, len(list_filter(string_split(raw_text, chr(10)), lambda z: trim(z, ' ') <> '')) <= 6 AS short FROM task_payloads WHERE raw_text IS NOT NULL",
+    "slot_match": f"WITH {T.TABLE_ORDERS}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, u AS (SELECT doc_id, fund_code, t_day, order_type, min(transfer_amount) AS cell_amount FROM tor GROUP BY 1, 2, 3, 4 HAVING count(*) = 1) SELECT c.doc_id, c.ord, c.id_code AS fund_code, c.t_day, c.order_type, c.canonical, u.cell_amount FROM c JOIN u ON u.doc_id = c.doc_id AND u.fund_code = c.id_code AND u.t_day = c.t_day AND u.order_type = c.order_type WHERE drop_reason IS NULL",
+    "corroborated": f"WITH {T.TABLE_ORDERS}, {_ORDERS}, {_difference(['fund_code', 'settle_class', 'order_type', 'base_date', 't_day', 'transfer_amount'])}",
+    "corroborated_core": f"WITH {T.TABLE_ORDERS}, {_ORDERS}, {_difference(['fund_code', 'order_type', 'transfer_amount'])}",
+    "family_overlap": f"WITH {T.UNPIVOT}, {_DEDUPED.partition('d AS (')[0].rstrip().rstrip(',')}, x AS (SELECT DISTINCT doc_id, id_code AS fund FROM c WHERE drop_reason IS NULL), y AS (SELECT DISTINCT doc_id, fund_code AS fund FROM am WHERE fund_code IS NOT NULL), z AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.fund IS NOT NULL AS l, y.fund IS NOT NULL AS r FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.fund = y.fund) SELECT doc_id, count(*) FILTER (l AND r) AS shared, count(*) FILTER (l AND NOT r) AS only_left, count(*) FILTER (r AND NOT l) AS only_right FROM z GROUP BY doc_id",
+    "markdown_cells": rf"""WITH {T.sections("markdown_text", T.STRUCTURED)}, {T.blocks(MD)}, p AS (SELECT *, string_split_regex(regexp_replace(regexp_replace(trim(line), '^\|\s*', ''), '\s*\|$', ''), '\s*\|\s*') AS parts FROM lin WHERE NOT regexp_full_match(line, '[|\s:\-]+')) SELECT doc_id, CAST(sum(len(parts)) AS BIGINT) AS n_cells, count(DISTINCT concat(section_no, '/', block_no)) AS n_blocks FROM p GROUP BY doc_id""",
+    "markdown_loss": f"WITH {T.CELLS}, u AS (SELECT DISTINCT doc_id, cell FROM cel WHERE cell <> '') SELECT doc_id, CAST(count(*) AS INTEGER) AS n_cells, CAST(count(*) FILTER (NOT contains(markdown_text, cell)) AS INTEGER) AS n_missing FROM u JOIN task_payloads ON payload_id = doc_id WHERE markdown_text IS NOT NULL GROUP BY doc_id",
+    "rendered_tables": f"WITH {T.CELLS}, l AS (SELECT {_B}, row_no, concat('| ', string_agg(replace(cell, '|', '\\|'), ' | ' ORDER BY col_no), ' |') AS line, concat('| ', string_agg('---', ' | '), ' |') AS dashes FROM cel GROUP BY {_B}, row_no) SELECT {_B}, concat_ws(chr(10), arg_min(line, row_no), arg_min(dashes, row_no), coalesce(string_agg(line, chr(10) ORDER BY row_no) FILTER (row_no > 1), '')) AS table_text FROM l GROUP BY {_B}",
+    "no_order_documents": f"SELECT payload_id, {S.contains_any('lower(raw_text)', _MARKERS)} AS no_order, len(list_filter(string_split(raw_text, chr(10)), lambda z: trim(z, ' ') <> '')) <= 6 AS short FROM task_payloads WHERE raw_text IS NOT NULL",
 }

@@ -16,11 +16,9 @@ BLOCKING = [
 
 
 def document_orders(docs: DataFrame) -> DataFrame:
-    """Orders of documents (doc_id, text): reports and ledgers where a document is one, tables else; in output form."""
-    tabs = layout.tables(layout.raw_rows(layout.sections(docs)))
-    tables = builders.table_orders(tabs, builders.base_dates(docs))
-    # a report's rows are no orders to the other two readings, so the largest set is the right one
-    found = builders.preferred(builders.buy_sell_orders(docs), tables, builders.section_orders(docs))
+    """Orders of documents (doc_id, text), read off their reports, tables and ledgers, in output form, each once."""
+    base = builders.dated(docs)
+    found = builders.preferred(builders.buy_sell_orders(base), builders.table_orders(builders.recovered(docs)), builders.section_orders(base))
     return orders.output_form(found).distinct()
 
 
