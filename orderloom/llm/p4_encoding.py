@@ -3,7 +3,9 @@
 Method: round-trip repair. A line is encoded again in each encoding that it may have been read in and strictly
 decoded in each that it may have been written in; the repair is accepted when the cost of garbling drops clearly,
 and tried again on its result, for nested layers. Characters lost in reading (U+FFFD) can't be encoded: there the
-parts between them are repaired one by one, and what is lost stays U+FFFD.
+parts between them are repaired one by one, and what is lost stays U+FFFD. A text written in an encoding of another
+language (Chinese, Japanese, Russian, Central European) is restored only where the reading looks native, and a
+restoration is called complete only where no other reading comes near it.
 
 Rows are worked on in Arrow batches without a shuffle; a line of ASCII only is never looked at, and equal lines of a
 worker are repaired once.
@@ -31,7 +33,18 @@ PAIRS = (
     ("cp1251", "utf-8"), ("cp437", "utf-8"), ("shift_jisx0213", "utf-8"), ("big5", "utf-8"),
     ("web-1252", "cp949"), ("latin-1", "cp949"), ("gbk", "cp949"), ("mac-roman", "cp949"), ("shift_jisx0213", "cp949"), ("big5", "cp949"),
 )
-LAYERS = 4
+#: Further encodings that a text may have been written in: (read in, written in). Of single bytes read one by one nearly
+#: every reading is valid, so these are taken only where the text they give looks written in that encoding's language.
+OTHER_PAIRS = tuple(
+    (read, written)
+    for read in ("web-1252", "latin-1", "mac-roman", "cp949", "cp1251", "koi8-r")
+    for written in ("gbk", "big5", "cp932", "cp1251", "koi8-r", "cp1250")
+    if read != written and not (read in ("cp949", "cp1251", "koi8-r") and written in ("cp932", "cp1250"))
+)
+#: Layers are undone until none is found; each must lower the cost, so this bound is a guard that no text reaches.
+LAYERS = 64
+#: A restoration is complete only if every other reading costs at least so many times as much.
+MARGIN = 1.5
 LOST = "�"
 #: A repair must leave at most this share of the cost.
 SHARE = 0.5
@@ -150,6 +163,114 @@ def _unlikely_korean(back: str, read: str) -> bool:
     return "J" in kinds or "C" in kinds and (read not in ("latin-1", "web-1252", "mac-roman") or bool(_HANJA_IN_WORD.search(back)))
 
 
+def _level_one(c: str, written: str) -> bool:
+    """Is a Chinese character one of the common half of its national set?"""
+    try:
+        raw = c.encode({"gbk": "gb2312", "big5": "big5", "cp932": "cp932"}[written])
+    except UnicodeEncodeError:
+        return False
+    return len(raw) == 2 and (0xB0 <= raw[0] <= 0xD7 if written == "gbk" else 0xA4 <= raw[0] <= 0xC6 if written == "big5" else 0x81 <= raw[0] <= 0x98)
+
+
+_CASED = re.compile(r"[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+")
+_VOWELS = frozenset("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
+_CYRILLIC_WORD = re.compile(r"[\u0400-\u045f]+")
+#: Letters that only encodings of Central Europe have, and what Western readers show in their place.
+_CENTRAL = frozenset("řčěůňťďŘČĚŮŇŤĎłąęśźćńŁĄĘŚŹĆŃőűŐŰ")
+_MISREAD = re.compile(r"ø[a-z]*[ìèùòïžšýáíé]|[ìèùòïžšýáíé][a-z]*ø|[A-Za-z][¹³¿œŸ][a-z]|[a-z][¹³¿](?![\w])")
+
+
+def _native(back: str, written: str) -> bool:
+    """Does a text look written in the language of an encoding: by its letters, their case, its vowels, its common characters?"""
+    high = _HIGH.findall(back)
+    if written in ("cp1251", "koi8-r"):
+        words = _CYRILLIC_WORD.findall(back)
+        letters = "".join(words)
+        if len(letters) < 4 or len(letters) < 0.9 * len(high) or not all(_CASED.fullmatch(w) for w in words):
+            return False
+        return 0.25 <= sum(c in _VOWELS for c in letters) / len(letters) <= 0.65 and not re.search(r"[A-Za-z][\u0400-\u045f]|[\u0400-\u045f][A-Za-z]", back)
+    if written == "cp1250":
+        return all(c in _CENTRAL or c in "áéíóúýšžöüäôÁÉÍÓÚÝŠŽÖÜÄÔ„“”–" for c in high) and sum(c in _CENTRAL for c in high) > 0
+    kinds = [_kind(c) for c in high]
+    han = [c for c, k in zip(high, kinds) if k == "C"]
+    other = [c for c, k in zip(high, kinds) if k not in ("C", "J") and not ("\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uff5e")]
+    if other or len(han) + kinds.count("J") < 3 or _HANJA_IN_WORD.search(back):
+        return False
+    if written == "cp932":
+        return kinds.count("J") >= max(2, len(han) // 2) and not any("\uff66" <= c <= "\uff9f" for c in high)
+    return "J" not in kinds and sum(_level_one(c, written) for c in han) >= 0.95 * len(han)
+
+
+_HANGUL, _HAN = re.compile("[가-힣]"), re.compile(r"[\u3400-\u9fff\uf900-\ufaff]")
+
+
+def _other(text: str) -> list[tuple[float, str]]:
+    """(cost, reading) of the further readings of a text that look native."""
+    out = []
+    # Chinese read as Korean gives Chinese characters among the syllables; without them it is Korean
+    korean = len(_HANGUL.findall(text)) > 2 * len(_HAN.findall(text))
+    for read, written in OTHER_PAIRS:
+        if korean or written == "cp1250" and not _MISREAD.search(text) or read in ("cp1251", "koi8-r") and _native(text, read):
+            continue
+        raw = _encode(text, read)
+        if raw is None:
+            continue
+        try:
+            back = raw.decode(written)
+        except UnicodeDecodeError:
+            continue
+        if back != text and _native(back, written):
+            # common characters of a native text cost a fraction of what strange ones do
+            out.append((cost(back) * (0.25 if written != "cp1250" else 0.5), back))
+    return out
+
+
+def _readings(text: str) -> list[tuple[float, str]]:
+    """(cost, reading) of every reading of a line that has no lost character, the line's own among them, cheapest first."""
+    now = cost(text)
+    found = {text: now}
+    for read, written in PAIRS:
+        raw = _encode(text, read)
+        if raw is None:
+            continue
+        try:
+            back = raw.decode(written)
+        except UnicodeDecodeError:
+            continue
+        if back == text or written == "cp949" and (_unlikely_korean(back, read) or _lookalike(text)):
+            continue
+        c = cost(back)
+        if written == "utf-8" and c < now:
+            c *= 0.25  # a text that is strictly valid UTF-8 by chance is very rare
+        found[back] = min(c, found.get(back, c))
+    for c, back in _other(text):
+        found[back] = min(c, found.get(back, c))
+    return sorted((c, x) for x, c in found.items())
+
+
+_FOREIGN_IN_WORD = re.compile(r"[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]")
+
+
+def _lookalike(text: str) -> bool:
+    """A Greek or Cyrillic letter inside a Latin word: a look-alike. No reading of Korean gives that."""
+    return bool(_FOREIGN_IN_WORD.search(text))
+
+
+def certain(line: str, layers: int = LAYERS) -> bool:
+    """Is the last step of a repair far cheaper than every other reading?"""
+    for _ in range(layers):
+        new = _parts(line) if LOST in line else _whole(line)
+        if new == line:
+            return True
+        if LOST not in line and not _KOREAN.match(line) and not _RARE.match(line):
+            rivals = [c for c, x in _readings(line) if x not in (new, line)]
+            own = next((c for c, x in _readings(line) if x == new), 0.0)
+            if rivals and min(rivals) < own * MARGIN:
+                return False
+        line = new
+    return False
+
+
 def _whole(text: str) -> str:
     """text with one layer undone where that lowers the cost enough; else text."""
     if _KOREAN.match(text):
@@ -167,23 +288,8 @@ def _whole(text: str) -> str:
         except UnicodeError:
             return text
     now = cost(text)
-    best, least = text, now * SHARE
-    for read, written in PAIRS:
-        raw = _encode(text, read)
-        if raw is None:
-            continue
-        try:
-            back = raw.decode(written)
-        except UnicodeDecodeError:
-            continue
-        if back == text or written == "cp949" and _unlikely_korean(back, read):
-            continue
-        c = cost(back)
-        if written == "utf-8" and c < now:
-            c *= 0.25  # a text that is strictly valid UTF-8 by chance is very rare
-        if c < least or c == least == 0 and now > 0:
-            best, least = back, c
-    return best
+    least, best = _readings(text)[0]
+    return best if best != text and (least < now * SHARE or least == 0 < now) else text
 
 
 def _parts(text: str) -> str:
@@ -251,7 +357,7 @@ def lines(df: DataFrame, key: str, field: str, restored: bool = False) -> DataFr
                 arrays = [batch.column(0).take(pa.array(ids)), pa.array(nos, pa.int64())]
                 names = [key, "line_no"]
                 if restored:
-                    arrays += [pa.array(old), pa.array(new), pa.array([LOST not in x for x in new])]
+                    arrays += [pa.array(old), pa.array(new), pa.array([LOST not in x and certain(o) for o, x in zip(old, new)])]
                     names += ["line", "restored", "complete"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 

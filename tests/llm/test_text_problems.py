@@ -155,3 +155,22 @@ def test_a_sender_whose_name_is_lost():
     body = [garble("안녕하세요."), garble("확인 부탁드립니다."), "", garble("누온채"), "a@b.example"]
     assert p3.classify(body, p3.sender(header)) == [True, True, True, False, False]
     assert p3.sender(["From: ��� <a@b.example>"]) == ""
+
+
+@pytest.mark.parametrize(
+    "line,written",
+    [("中文测试文件已经确认", "gbk"), ("請確認基金公司的資料", "big5"), ("Проверить остаток фонда", "cp1251"), ("Проверить остаток фонда", "koi8-r"), ("ファンドの注文を確認してください", "cp932"), ("Příliš žluťoučký kůň", "cp1250")],
+)
+def test_other_written_encodings(line, written):
+    web = {v: k for k, v in p4._WEB.items()}
+    assert p4.repair("".join(web[b] for b in line.encode(written))) == line
+
+
+@pytest.mark.parametrize("line", ["中文测试文件已经确认", "請確認基金公司的資料", "Проверить остаток фонда", "ПРОВЕРИТЬ ОСТАТОК", "ファンドの注文を確認", "Příliš žluťoučký kůň", "à la crème brûlée, où êtes-vous", "l'attività è più sù", "blåbærgrød på øen", "row 26 рrecedes", "Rеtirement Path"])
+def test_clean_foreign_text_stays(line):
+    assert p4.repair(line) == line
+
+
+def test_a_close_call_is_not_complete():
+    assert p4.certain("기준일자: 2024-08-02".encode().decode("latin-1")) and p4.certain("plain")
+    assert p4.repair("ÖÐÎÄ²âÊÔ") in ("ÖÐÎÄ²âÊÔ", "中文测试")
