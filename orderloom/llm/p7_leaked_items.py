@@ -1,15 +1,17 @@
 """Problem 7: passages of evaluation items in a training corpus.
 
-Method: a distributed positional inverted index. Each worker builds, for its share of the documents (a shard of
-about 2 MB), the postings of the words that occur in test items: sorted numbers of term and position. A query
-window of 12 words is answered in every shard by taking the postings of its rarest term there, shifting them by the
-term's offset, and intersecting them with the shifted lists of the other terms from rare to common. A slop of 0
-gives exact phrases; a larger slop lets each word lie that many places off (proximity).
+Method: a distributed positional inverted index, stored. Each worker builds, for its share of the documents (a shard
+of about 2 MB), the postings of all words: for each term the sorted positions where it stands. The index is written
+once to the shared folder and read for every block of test items and every slop. A query window of 12 words is
+answered in every shard by taking the postings of its rarest term there, shifting them by the term's offset, and
+intersecting them with the shifted lists of the other terms from rare to common. A slop of 0 gives exact phrases. With
+a larger one (proximity) a window matches at a place if every word lies at most that many places from where the
+phrase would have it there; all places that the rarest term allows are tried, so the result doesn't depend on shards.
 
 The index is partitioned by document, so neither building nor searching shuffles anything, and a hot term is split
-over all shards. Test items are sent in blocks of about MOST_ITEMS rows. The index lives only within a job, shard by
-shard, and is never written: as it holds only the words of one block's items, each block of items and each query
-reads the documents and builds it anew.
+over all shards. Test items are read in blocks of at most BLOCK_BYTES of text; longer items are cut, windows kept
+whole. More blocks than one are searched one after another, each with its result written, so the driver and the
+workers hold one block only.
 
 Defined cases: null and empty texts, items under 12 words and rows without an id match nothing; repeated documents each match;
 words are maximal runs of letters and digits, compared case-folded.
@@ -17,6 +19,7 @@ words are maximal runs of letters and digits, compared case-folded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LIMIT, U64, codepoints, folded, mix, powers, slices, table, word_table
+from .shared import LIMIT, U64, checkpointed, codepoints, folded, mix, powers, slices, table, word_table
 
 WORDS = 12
-MOST_ITEMS = 50_000
+#: Text of test items that a block holds; its windows take about 50 bytes a byte of it.
+BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 2 << 20
 BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-SHIFT = 40
+INDEX = "docs array<long>, first array<int>, terms array<long>, checks array<long>, ends array<int>, positions array<int>"
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,65 +62,83 @@ class Queries:
         h, g, row = words(pa.array(texts, pa.string()))
         self.hash, first = np.unique(h, return_index=True)
         self.check = g[first]
-        term = np.searchsorted(self.hash, h)
+        term = np.searchsorted(self.hash, h).astype(np.int32)
         n = len(term) - width + 1
         at = np.flatnonzero(row[:n] == row[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
-        self.terms = term[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.int64)
+        self.terms = term[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.int32)
         self.items = np.asarray(ids, np.int64)[row[at]]
 
-    def term_of(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """The number of each word's term, -1 for words of no item."""
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where((self.hash[at] == h) & (self.check[at] == g), at, -1)
 
-
-def build_index(docs: DataFrame, queries: Queries, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per shard: its documents, the position of the first word of each, and the sorted postings."""
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per shard: its documents, the position of the first word of each, its terms, and where each stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ["text"], shard_bytes):
             h, g, row = words(batch.column(1))
-            # one empty place lies between two documents; search_shard stays within a document at any slop
-            position = np.arange(len(row), dtype=np.int64) + row
-            term = queries.term_of(h, g)
-            hit = term >= 0
-            if hit.any():
-                first = np.searchsorted(row, np.arange(batch.num_rows)) + np.arange(batch.num_rows)
-                keys = np.sort((term[hit].astype(np.int64) << SHIFT) | position[hit])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64()))], ["docs", "first", "postings"]
-                )
-
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "docs array<long>, first array<long>, postings array<long>")
-
-
-def search_shard(keys: np.ndarray, first: np.ndarray, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, document) of every match in a shard's postings; first: the position of each document's first word.
+            if not len(h):
+                continue
+            # documents' positions don't touch: one place lies between, and a search stays within a document
+            position = (np.arange(len(row), dtype=np.int64) + row).astype(np.int32)
+            first = (np.searchsorted(row, np.arange(batch.num_rows)) + np.arange(batch.num_rows)).astype(np.int32)
+            order = np.argsort(h, kind="stable")
+            sorted_h = h[order]
+            head = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+            ends = np.append(head[1:], len(h)).astype(np.int32)
+            long = lambda x: pa.array([x.view(np.int64)], pa.list_(pa.int64()))
+            short = lambda x: pa.array([x], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), short(first), long(sorted_h[head]), long(g[order][head]), short(ends), short(position[order])],
+                ["docs", "first", "terms", "checks", "ends", "positions"],
+            )
+
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX)
+
+
+class Shard:
+    """A shard's postings: sorted numbers of term (of the block's vocabulary) and position."""
+
+    SHIFT = 32
+
+    def __init__(self, queries: Queries, first: np.ndarray, terms: np.ndarray, checks: np.ndarray, ends: np.ndarray, positions: np.ndarray):
+        self.first = first.astype(np.int64)
+        terms, checks = terms.view(U64), checks.view(U64)
+        at = np.minimum(np.searchsorted(terms, queries.hash), len(terms) - 1)
+        here = np.flatnonzero((terms[at] == queries.hash) & (checks[at] == queries.check))
+        stop = ends[at[here]].astype(np.int64)
+        start = np.where(at[here] > 0, ends[np.maximum(at[here] - 1, 0)], 0).astype(np.int64)
+        n = stop - start
+        self.count = np.zeros(len(queries.hash), np.int64)
+        self.count[here] = n
+        self.edge = np.concatenate([[0], np.cumsum(self.count)])
+        place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.keys = np.repeat(here.astype(np.int64), n) << self.SHIFT | positions[place].astype(np.int64)
+
+
+def search_shard(shard: Shard, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, document) of every match in a shard.
 
     The document is the rarest term's own, and every other term is looked for within it: with a slop, a window's
-    computed start may lie before the document.
+    place may lie before the document.
     """
-    terms = np.arange(len(queries.hash) + 1, dtype=np.int64) << SHIFT
-    edge = np.searchsorted(keys, terms)
-    count = np.diff(edge)
+    count, keys, first = shard.count, shard.keys, shard.first
     live = np.flatnonzero((count[queries.terms] > 0).all(axis=1)) if len(queries.terms) else np.zeros(0, np.int64)
-    order = np.argsort(count[queries.terms[live]], axis=1, kind="stable")
     if not len(live):
         return live, live
+    order = np.argsort(count[queries.terms[live]], axis=1, kind="stable")
     rarest = queries.terms[live, order[:, 0]]
     n = count[rarest]
     window = np.repeat(np.arange(len(live)), n)
     nth = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-    at = keys[edge[rarest][window] + nth] & ((1 << SHIFT) - 1)
-    start = at - order[window, 0]
+    at = keys[shard.edge[rarest][window] + nth] & ((1 << Shard.SHIFT) - 1)
     doc = np.searchsorted(first, at, "right") - 1
-    low, high = first[doc], np.append(first[1:], 1 << SHIFT)[doc] - 1
+    low, high = first[doc], np.append(first[1:], 1 << Shard.SHIFT)[doc] - 1
+    shifts = np.arange(-slop, slop + 1)
+    start = ((at - order[window, 0])[:, None] + shifts).ravel()
+    window, doc, low, high = (np.repeat(x, len(shifts)) for x in (window, doc, low, high))
     for k in range(1, order.shape[1]):
         offset = order[window, k]
         least, most = np.maximum(start + offset - slop, low), np.minimum(start + offset + slop, high)
-        term = queries.terms[live[window], offset] << SHIFT
+        term = queries.terms[live[window], offset].astype(np.int64) << Shard.SHIFT
         at = np.searchsorted(keys, term + least)
         ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= term + most) & (least <= most)
         window, start, doc, low, high = window[ok], start[ok], doc[ok], low[ok], high[ok]
@@ -129,8 +151,8 @@ def search_index(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, first, keys = (np.asarray(batch.column(k)[i].values) for k in range(3))
-                window, doc = search_shard(keys, first, queries, slop)
+                docs, *parts = (np.asarray(batch.column(k)[i].values) for k in range(6))
+                window, doc = search_shard(Shard(queries, *parts), queries, slop)
                 if not len(window):
                     continue
                 pairs = np.unique(np.stack([docs[doc], queries.items[window]], axis=1), axis=0)
@@ -139,26 +161,56 @@ def search_index(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame
     return index.mapInArrow(run, "doc_id long, item_id long")
 
 
-def leaked(docs: DataFrame, items: DataFrame, width: int = WORDS, slop: int = 0, most: int = MOST_ITEMS) -> DataFrame:
-    """docs: doc_id, text; items: item_id, item_text. The items are collected in blocks of about `most` rows."""
-    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.coalesce("item_text", F.lit("")).alias("item_text"))
-    blocks = -(-max(items.count(), 1) // most)
+def item_blocks(items: DataFrame, most: int = BLOCK_BYTES, width: int = WORDS) -> Iterator[tuple[list[int], list[str]]]:
+    """The items in blocks of at most `most` bytes of text; a longer item is cut, width - 1 words repeated at each cut."""
+    items = items.where("item_id IS NOT NULL AND item_text <> ''").select(F.col("item_id").cast("long"), "item_text")
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for item, text in items.toLocalIterator():
+        pieces = [text]
+        if len(text) * 4 > most:
+            spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+            step = max(width, most // 8 // max(1, max((b - a for a, b in spans), default=1)))
+            pieces = [text[spans[i][0] : spans[min(i + step + width - 1, len(spans)) - 1][1]] for i in range(0, len(spans), step)]
+        for piece in pieces:
+            if size and size + len(piece) * 4 > most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(item)
+            texts.append(piece)
+            size += len(piece) * 4
+    yield ids, texts
+
+
+def leaked(index: DataFrame, items: DataFrame, width: int = WORDS, slop: int = 0, most: int = BLOCK_BYTES) -> DataFrame:
+    """index: as `build_index` gives it, stored; items: item_id, item_text."""
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        queries = Queries([r[0] for r in rows], [r[1] for r in rows], width)
-        found = search_index(build_index(docs, queries), queries, slop)
+    blocks = item_blocks(items, most, width)
+    ids, texts = next(blocks)
+    while True:
+        following = next(blocks, None)
+        found = search_index(index, Queries(ids, texts, width), slop).distinct()
+        if out is None and following is None:
+            return found
+        found = checkpointed(found)
         out = found if out is None else out.unionByName(found)
-    return out
+        if following is None:
+            return out.distinct()
+        ids, texts = following
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(build_index(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items")).distinct()
+    return leaked(stored_index(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proximity matches: 12 consecutive words of an item, each at most two places from where the phrase has it."""
-    return leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"), slop=2).distinct()
+    return leaked(stored_index(spark, sf_dir), table(spark, sf_dir, "eval_items"), slop=2)
 
 
 def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

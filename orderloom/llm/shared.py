@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
-import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,22 +26,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share and read again.
+_WRITTEN: list[str] = []
 
-    The folder is spark.checkpoint.dir; where that is unset (a test on one machine) it is set to a new
-    temporary folder. A lost executor costs only the tasks it ran.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Unset, a session on one machine gets a temporary one;
+    on a cluster that is an error, for each executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orderloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = os.path.join(folder, f"table-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder that all executors share and read again: a lost executor costs only the tasks it ran.
+
+    What was written stays until `clean` or the end of the session's process: results read it lazily.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(clean, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that `checkpointed` wrote in this process; call it when their results have been read."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _WRITTEN:
+            path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the session has ended: its folder is the cluster's to clean
+        _WRITTEN.clear()
+
+
 #: A bitmap of 2 ** 26 bits, 8 MB whatever the data, as a filter before a shuffle; more keys make it let more through.
 FILTER_BITS = 26
 

@@ -16,6 +16,7 @@ from orderloom.llm import p5_lookalikes as p5
 from orderloom.llm import p6_packing as p6
 from orderloom.llm import p7_leaked_items as p7
 from orderloom.llm import p8_shared_spans as p8
+from orderloom.llm.shared import checkpointed
 
 DOCS = "doc_id long, text string, h string, gram string"
 ORDERS = "order_id long, fund_code string, fund_name string, settle_class string, order_type string, base_date string, t_day int, transfer_amount string, record_text string, h1 string"
@@ -92,11 +93,28 @@ def test_leaked_items_equal_brute_force(spark):
         want |= {(d, i) for i, q in per_item.items() if g & q}
     df = spark.createDataFrame([(d, t, "", "") for d, t in docs], DOCS)
     it = spark.createDataFrame(items, "item_id long, item_text string")
-    assert {tuple(x) for x in p7.leaked(df, it).distinct().collect()} == want
-    assert {tuple(x) for x in p7.leaked(df, it, most=7).distinct().collect()} == want  # blocks of items
-    near = {tuple(x) for x in p7.leaked(df, it, slop=2).distinct().collect()}
-    assert want <= near
-    assert p7.leaked(df, it.limit(0)).count() == 0 and p7.leaked(df.limit(0), it).count() == 0
+    index = checkpointed(p7.build_index(df, shard_bytes=600))
+    assert index.count() > 3
+    assert {tuple(x) for x in p7.leaked(index, it).collect()} == want
+    assert {tuple(x) for x in p7.leaked(index, it, most=900).collect()} == want  # blocks of items, long ones cut
+    near = {tuple(x) for x in p7.leaked(index, it, slop=2).collect()}
+    brute = {(d, i) for d, t in docs for i, q in items if close(words_of(t), words_of(q), 2)}
+    assert want <= near == brute and len(near) > len(want)
+    assert p7.leaked(index, it.limit(0)).count() == 0 and p7.leaked(p7.build_index(df.limit(0)), it).count() == 0
+
+
+def close(doc, item, slop):
+    """Is there a window of 12 words of the item and a place where each of them lies within `slop` of its own place?"""
+    where = collections.defaultdict(list)
+    for p, w in enumerate(doc):
+        where[w].append(p)
+    for a in range(len(item) - 11):
+        window = item[a : a + 12]
+        if all(w in where for w in window):
+            for start in range(-slop, len(doc)):
+                if all(any(abs(p - start - k) <= slop for p in where[w]) for k, w in enumerate(window)):
+                    return True
+    return False
 
 
 def test_proximity_lets_words_lie_apart(spark):
@@ -104,8 +122,8 @@ def test_proximity_lets_words_lie_apart(spark):
     moved = item.replace("f6 g7", "g7 f6")
     df = spark.createDataFrame([(1, item), (2, moved), (3, "a1 b2 c3")], "doc_id long, text string")
     it = spark.createDataFrame([(7, item)], "item_id long, item_text string")
-    assert {r.doc_id for r in p7.leaked(df, it).collect()} == {1}
-    assert {r.doc_id for r in p7.leaked(df, it, slop=1).collect()} == {1, 2}
+    assert {r.doc_id for r in p7.leaked(p7.build_index(df), it).collect()} == {1}
+    assert {r.doc_id for r in p7.leaked(p7.build_index(df), it, slop=1).collect()} == {1, 2}
 
 
 def test_proximity_stays_within_a_document(spark):
@@ -113,7 +131,7 @@ def test_proximity_stays_within_a_document(spark):
     opening = one.replace("a1 b2", "b2 a1")  # b2, the rarest, is the document's first word
     df = spark.createDataFrame([(1, "x a1"), (2, opening), (3, two[:17]), (4, two[18:])], "doc_id long, text string").coalesce(1)
     it = spark.createDataFrame([(7, one), (8, two)], "item_id long, item_text string")
-    assert [tuple(r) for r in p7.leaked(df, it, slop=2).collect()] == [(2, 7)]
+    assert [tuple(r) for r in p7.leaked(p7.build_index(df), it, slop=2).collect()] == [(2, 7)]
 
 
 @pytest.mark.parametrize("lengths", [np.random.default_rng(1).integers(1, 2049, 5000), np.full(100, 1025), np.full(10, 2048), np.arange(1, 2049), np.array([], int)])
