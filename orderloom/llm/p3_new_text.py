@@ -32,7 +32,7 @@ _QUOTE = re.compile(r"[ \t]*(?:\|[ \t]*)*>")
 _ATTRIBUTION = re.compile(
     r"""(?: On\ .+\bwrote: | .+\bwrote\ on\ [\d\-/. ]+: | .+<[^<>@\s]+@[^<>\s]+>\ wrote:
     | .*(?:님이\ 작성:|님이\ 쓰신\ 글:|님\ 글:|님의\ 말:|작성\ ?\(\d{4}[-./]\d{1,2}[-./]\d{1,2}\))
-    | (?:Am|Den)\ .+\bschrieb\b.*: | Le\ .+\ba\ écrit\ ?: | El\ .+\bescribió: | Em\ .+\bescreveu: | Il\ .+\bha\ scritto:
+    | (?:Am|Den)\ .+\bschrieb\b.*: | (?:Op\ .+\b|.+\ )schreef\b.*: | (?:Den\ .+\b|.+\ )skrev\b.*: | (?:W\ dniu\ .+|.+\ )(?:pisze|napisał(?:a|\(a\))?)\b.*: | .+\bnapsal(?:a|\(a\))?\b.*: | .+\bkirjoitti: | .+\byazdı: | Le\ .+\ba\ écrit\ ?: | El\ .+\bescribió: | Em\ .+\bescreveu: | Il\ .+\bha\ scritto:
     | .+\bнаписала?(?:\(а\))?: | .+写道[:：] | .+さんは書きました[:：] | .+のメール[:：] )""",
     re.X | re.I,
 )
@@ -49,17 +49,29 @@ _MARKER = re.compile(
     r"|Begin forwarded message:|전달된 메시지 시작:|Anfang der weitergeleiteten Nachricht:|_{8,})",
     re.I,
 )
-# The beginnings of legal notices; a notice runs on to the next blank line.
-_NOTICE = re.compile(
-    r"""(?: (?:\[?(?:confidential(?:ity)?|legal|privacy|security)\b[\w\ ]*(?:notice|note|disclaimer)\b|disclaimer\b)
-    | (?:the\ )?(?:sender|company|author)\ accepts\ no\ (?:liability|responsibility) | if\ you\ (?:have\ )?received?\ (?:it|this|the)\b.*\bin\ error
-    | this\ (?:e-?mail|message|communication)\b.*\b(?:confidential|intended|privileged|addressee) | please\ consider\ the\ environment
-    | to\ this\ message\ after\ it\ was\ sent
-    | \[(?:보안|법적|비밀)[^\]]*\] | ※\ ?이\ 전자우편 | 본\ (?:메일|이메일|전자우편|메시지)[은는].*(?:수신인|수신자|기밀|비밀) | 이\ (?:메시지|메일|전자우편)(?:와|과|은|는|에는).*(?:법적|비밀|기밀|보호)
-    | 잘못\ 수신하신 | 당사는\ 전송\ 중
-    | diese\ (?:e-mail|nachricht)\b.*\bvertraulich | ce\ (?:message|courriel)\b.*\bconfidentiel | este\ (?:mensaje|correo|e-?mail)\b.*\bconfidencial )""",
-    re.X | re.I,
+# Stems of legal notices. A notice speaks of secrecy or law together with a recipient, a misuse or the
+# message itself, or of the message together with liability or a recipient; it runs on to the next blank line.
+_SECRECY = re.compile(
+    r"confidential|privileged|proprietary|disclaimer|legally|비밀|기밀|\[보안|\[법적|법적|vertraulich|confidentiel|confidencial|riservat|vertrouwelijk|konfidentiell|fortrolig|poufn|důvěrn|конфиденциал|机密|機密|秘密",
+    re.I,
+)
+_MISUSE = re.compile(
+    r"addressee|intended (?:only|solely|for)|recipient|in error|liability|responsib|unauthori[sz]ed|prohibited|copying|disclos|disseminat|bind the company|수신인|수신자|잘못 수신|책임지지|책임을 지지|금합니다|금지|공개할 수 없|Empfänger|Haftung|destinataire|destinatari|ontvanger|mottagare|odbiorc|příjemc|адресат|收件人|受信者|宛先以外",
+    re.I,
+)
+_MESSAGE = re.compile(
+    r"this (?:e-?mail|message|communication|transmission)|the (?:sender|company|author) accepts|이 메시지|이 메일|본 메일|본 메시지|본 이메일|본 전자우편|이 전자우편|당사는|발신인에게|diese[rs]? (?:e-?mail|nachricht)|ce (?:message|courriel)|este (?:mensaje|correo|e-?mail)|questo messaggio|(?:deze|dit) (?:e-?mail|bericht)|detta meddelande|ta wiadomość|tato zpráva|данное сообщение|это сообщение|本邮件|このメール|本メール",
+    re.I,
 )
+_LABEL = re.compile(r"\[?(?:confidential(?:ity)?|legal|privacy|security)\b[\w ]*(?:notice|note|disclaimer)\b|disclaimer\b|please consider the environment", re.I)
+
+
+def is_notice(line: str) -> bool:
+    """Does a legal notice begin in this line?"""
+    secrecy, misuse, message = (bool(p.search(line)) for p in (_SECRECY, _MISUSE, _MESSAGE))
+    return bool(_LABEL.match(line)) or secrecy and (misuse or message) or misuse and message
+
+
 _MOBILE = re.compile(r"(?:Sent from (?:my|a|an)\b.{0,40}|(?:나의 |내 )?[\w ]{0,20}(?:모바일|휴대폰|휴대전화|iPhone|갤럭시)에서 보냄|Von meinem .{0,30} gesendet|Envoyé de mon .{0,30}|Enviado desde mi .{0,30})\.?", re.I)
 _DELIMITER = re.compile(r"--[ \t]?|[─━═—]{5,}|_{5,7}")
 _ENDING = re.compile(r"\s*(?:드림|올림|배상|拜|님)\.?")
@@ -70,6 +82,10 @@ _CLOSING = re.compile(
     re.I,
 )
 _SENTENCE = re.compile(r".*[.!?。:]\s*$|.*다\s*$")
+#: A line below a signature's first that is no contact and no sentence belongs to it up to so many words.
+SIGNATURE_WORDS = 14
+#: A line before a quotation that ends with a colon and names a day, a time or an address attributes it, in any language.
+_NAMES_WHEN = re.compile(r"\d{1,4}[-./]\d{1,2}|\d{1,2}[:：]\d{2}|\b(?:19|20)\d{2}\b|[\w.+-]+@[\w-]+\.\w")
 _PLAIN = re.compile(r"[\x20-\x7e\t가-힣·]*\Z")
 
 
@@ -103,7 +119,7 @@ def _header_at(lines: list[str], i: int) -> bool:
 
 def _signature_line(line: str) -> bool:
     """May the line stand in a signature, below its first line?"""
-    return bool(line.strip()) and (bool(_ADDRESS.search(line) or _CONTACT.match(line.strip())) or len(line.strip()) <= 60 and not _SENTENCE.match(line) and " | " not in line.replace(" | ", "", 1))
+    return bool(line.strip()) and (bool(_ADDRESS.search(line) or _CONTACT.match(line.strip())) or len(line.split()) <= SIGNATURE_WORDS and not _SENTENCE.match(line) and " | " not in line.replace(" | ", "", 1))
 
 
 def _named(line: str, name: str) -> bool:
@@ -148,14 +164,14 @@ def classify(body: list[str], name: str) -> list[bool]:
             new[i] = False
         elif not line:
             pass
-        elif _ATTRIBUTION.fullmatch(line):
+        elif _ATTRIBUTION.fullmatch(line) or line[-1] in ":：" and _NAMES_WHEN.search(line) and follows_quote(i + 1):
             new[i] = False
             if i and re.match(r"<?[^<>@\s]+@", line) and _WRAPPED.fullmatch(lines[i - 1].strip()):
                 new[i - 1] = False
         elif i + 1 < end and _WRAPPED.fullmatch(line) and not _SENTENCE.match(line) and _ATTRIBUTION.fullmatch(f"{line} {lines[i + 1].strip()}") and follows_quote(i + 2):
             new[i] = new[i + 1] = False
             i += 1
-        elif _NOTICE.match(line):
+        elif is_notice(line):
             while i < end and lines[i].strip() and not quoted[i]:
                 new[i] = False
                 i += 1
@@ -165,7 +181,7 @@ def classify(body: list[str], name: str) -> list[bool]:
         elif _named(line, name) or _named(body[i], name) or _DELIMITER.fullmatch(lines[i].rstrip("\r")) and i + 1 < end and _signature_line(lines[i + 1]) and not quoted[i + 1]:
             new[i] = False
             j = i + 1
-            while j < end and not quoted[j] and _signature_line(lines[j]) and not _NOTICE.match(lines[j].strip()) and not _ATTRIBUTION.fullmatch(lines[j].strip()):
+            while j < end and not quoted[j] and _signature_line(lines[j]) and not is_notice(lines[j].strip()) and not _ATTRIBUTION.fullmatch(lines[j].strip()):
                 new[j] = False
                 j += 1
             i = j

@@ -237,7 +237,7 @@ def _readings(text: str) -> list[tuple[float, str]]:
             back = raw.decode(written)
         except UnicodeDecodeError:
             continue
-        if back == text or written == "cp949" and (_unlikely_korean(back, read) or _lookalike(text)):
+        if back == text or written == "cp949" and (_unlikely_korean(back, read) or _foreign(text, read)):
             continue
         c = cost(back)
         if written == "utf-8" and c < now:
@@ -248,12 +248,12 @@ def _readings(text: str) -> list[tuple[float, str]]:
     return sorted((c, x) for x, c in found.items())
 
 
-_FOREIGN_IN_WORD = re.compile(r"[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]")
+_FOREIGN = re.compile(r"[\u0386-\u0481]")
 
 
-def _lookalike(text: str) -> bool:
-    """A Greek or Cyrillic letter inside a Latin word: a look-alike. No reading of Korean gives that."""
-    return bool(_FOREIGN_IN_WORD.search(text))
+def _foreign(text: str, read: str) -> bool:
+    """Greek or Cyrillic letters (as such, or as look-alikes in a Latin word): no reading of Korean by pairs gives them."""
+    return read in ("gbk", "big5", "shift_jisx0213") and bool(_FOREIGN.search(text))
 
 
 def certain(line: str, layers: int = LAYERS) -> bool:

@@ -166,7 +166,7 @@ def test_other_written_encodings(line, written):
     assert p4.repair("".join(web[b] for b in line.encode(written))) == line
 
 
-@pytest.mark.parametrize("line", ["中文测试文件已经确认", "請確認基金公司的資料", "Проверить остаток фонда", "ПРОВЕРИТЬ ОСТАТОК", "ファンドの注文を確認", "Příliš žluťoučký kůň", "à la crème brûlée, où êtes-vous", "l'attività è più sù", "blåbærgrød på øen", "row 26 рrecedes", "Rеtirement Path"])
+@pytest.mark.parametrize("line", ["中文测试文件已经确认", "請確認基金公司的資料", "Проверить остаток фонда", "ПРОВЕРИТЬ ОСТАТОК", "Данное сообщение является конфиденциальным.", "Το μήνυμα είναι εμπιστευτικό", "ファンドの注文を確認", "Příliš žluťoučký kůň", "à la crème brûlée, où êtes-vous", "l'attività è più sù", "blåbærgrød på øen", "row 26 рrecedes", "Rеtirement Path"])
 def test_clean_foreign_text_stays(line):
     assert p4.repair(line) == line
 
@@ -174,3 +174,31 @@ def test_clean_foreign_text_stays(line):
 def test_a_close_call_is_not_complete():
     assert p4.certain("기준일자: 2024-08-02".encode().decode("latin-1")) and p4.certain("plain")
     assert p4.repair("ÖÐÎÄ²âÊÔ") in ("ÖÐÎÄ²âÊÔ", "中文测试")
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Op ma 3 jun. 2024 om 09:12 schreef Jan Vos <jan@vos.example>:", "Jan Vos schreef op 3 juni 2024:", "Den mån 3 juni 2024 kl 09:12 skrev Eva Ek <eva@ek.example>:", "W dniu 3.06.2024 o 09:12 Ewa Nowak pisze:", "Dne 3. 6. 2024 v 9:12 napsal Jan Novák:", "3.6.2024 9.12 Matti Meikäläinen kirjoitti:", "Ar 3 Meh 2024, 09:12 ysgrifennodd Rhys:"],
+)
+def test_attributions_in_many_languages(line):
+    lines = ["New text.", "", line, "> old", "and a reply"]
+    assert [x for x, n in zip(lines, p3.classify(lines, "")) if n and x] == ["New text.", "and a reply"]
+
+
+@pytest.mark.parametrize(
+    "notice",
+    ["The information in this transmission is proprietary and for the named recipient.\nDelete it otherwise.", "Diese Nachricht ist vertraulich und nur für den Empfänger bestimmt.", "Dit bericht is vertrouwelijk en uitsluitend bestemd voor de ontvanger.", "Данное сообщение является конфиденциальным.", "본 이메일은 기밀 정보를 담고 있으며\n수신자 이외의 이용을 금지합니다.", "We accept no liability for errors in this e-mail."],
+)
+def test_notices_in_other_words(notice):
+    lines = ["Please check the orders.", "", *notice.split("\n"), "", "One more line."]
+    assert [x for x, n in zip(lines, p3.classify(lines, "")) if n and x] == [lines[0], lines[-1]]
+
+
+def test_lines_that_only_sound_like_notices():
+    for line in ["Please delete this row.", "The recipient account is unchanged.", "책임자에게 전달했습니다.", "Sent the confidential file yesterday.", "At 10:30 we call:"]:
+        assert p3.classify([line, "", "x"], "") == [True, True, True]
+
+
+def test_long_signature_lines():
+    lines = ["Confirm please.", "", "-- ", "Osta Quilme", "Head of the Variable Annuity Operations and Fund Transfer Settlement Desk, Hollowmere Mutual", "o@x.example"]
+    assert p3.classify(lines, "") == [True, True, False, False, False, False]
