@@ -3,10 +3,11 @@
 Method: a trie of canonical spellings (fund names; words of names) is walked by a weighted edit automaton in
 which look-alikes and ignorable characters cost nothing, a difference of case, space or mark costs a little and
 any real edit more than is allowed. The cheapest canonical spelling is selected; what matches none is
-normalized by table. The values affected are found by tables (a character that stands for another or isn't seen, a
-word of two scripts, a number with letters); the automaton decides the rest: a fund name that reaches a name of the
-master, or a word wholly in another script that reaches a word of names, by look-alikes besides differences of case,
-space and mark. Both run per row in Arrow batches, without a shuffle.
+normalized by table. A fund name is affected if its cheapest path to a name of the master uses look-alikes or
+ignorables, which the automaton counts along the path; names that reach none, amounts (which have no vocabulary) and
+texts go by table: a character that stands for another or isn't seen, a word of two scripts, a number with letters;
+words of a text that are wholly in another script are asked of the trie of words. All runs per row in Arrow batches,
+without a shuffle; a worker walks the automaton once per spelling.
 
 Defined cases: null and empty values are plain and normalize to themselves; repeated rows give one row each in
 the normalizing query and one in p5_found (whose rows are distinct by key); rows without an id are left out; extra columns are ignored.
@@ -59,7 +60,9 @@ MARKS = {
 IN_NUMBERS = {**dict.fromkeys("OoОоΟοՕօ", "0"), **dict.fromkeys("lIІӀӏΙ|", "1")}
 FILLERS = frozenset("͏ᅟᅠ឴឵ㅤﾠ⠀")
 #: Costs of the automaton: another case; a space or mark too many or too few; any other edit; the most accepted.
-CASE, LAYOUT, EDIT, MOST_COST = 0.01, 0.02, 1.0, 0.9
+CASE, LAYOUT, EDIT, MOST_COST = 10_000, 20_000, 1_000_000, 900_000
+#: A look-alike or ignorable costs nothing; it is counted in the last digits of the cost, which settle no comparison.
+LOOK = 1
 
 PLAIN, BAD, OTHER, MARK = 0, 1, 2, 3
 
@@ -194,19 +197,19 @@ class Trie:
                 node = nxt
             self.canonical[node] = s
 
-    def _close(self, states: dict[int, float], limit: float) -> dict[int, float]:
+    def _close(self, states: dict[int, int], limit: int) -> dict[int, int]:
         """Adds what is reached by spaces and marks that the input leaves out."""
         todo = list(states.items())
         while todo:
             node, cost = todo.pop()
             for c, nxt in self.children[node].items():
-                if not c.isalnum() and (new := cost + LAYOUT) <= limit and new < states.get(nxt, 9e9):
+                if not c.isalnum() and (new := cost + LAYOUT) <= limit and new < states.get(nxt, 1 << 60):
                     states[nxt] = new
                     todo.append((nxt, new))
         return states
 
-    def _step(self, states: dict[int, float], options: tuple[tuple[str, float], ...], limit: float) -> dict[int, float]:
-        out: dict[int, float] = {}
+    def _step(self, states: dict[int, int], options: tuple[tuple[str, int], ...], limit: int) -> dict[int, int]:
+        out: dict[int, int] = {}
         for node, cost in states.items():
             for text, extra in options:
                 reached = [(node, cost + extra)]
@@ -221,33 +224,39 @@ class Trie:
                                 follow.append((kids[other], k + CASE))
                     reached = follow
                 for n, k in reached:
-                    if k <= limit and k < out.get(n, 9e9):
+                    if k <= limit and k < out.get(n, 1 << 60):
                         out[n] = k
         return self._close(out, limit)
 
-    def match(self, text: str, limit: float = MOST_COST) -> tuple[str, float] | None:
-        """(cheapest canonical spelling, its cost); None if none costs `limit` or less."""
-        states = self._close({0: 0.0}, limit)
-        for c in unicodedata.normalize("NFC", text):
+    def match(self, text: str, limit: int = MOST_COST) -> tuple[str, int, int] | None:
+        """(cheapest canonical spelling, its cost, look-alikes and ignorables on the way); None if none costs `limit` or less."""
+        limit += len(text) * LOOK
+        states = self._close({0: 0}, limit)
+        composed = unicodedata.normalize("NFC", text)
+        for c in composed:
             states = self._step(states, options(c), limit)
             if not states:
                 return None
         ends = [(k, self.canonical[n]) for n, k in states.items() if self.canonical[n] is not None]
-        return (min(ends)[1], min(ends)[0]) if ends else None
+        if not ends:
+            return None
+        least, name = min(ends)
+        looks = least % CASE
+        return name, least - looks, looks + (composed != text)
 
 
 @functools.lru_cache(1 << 16)
-def options(c: str) -> tuple[tuple[str, float], ...]:
+def options(c: str) -> tuple[tuple[str, int], ...]:
     """What the automaton may read c as, each with its cost."""
-    out = {c: 0.0}
+    out = {c: 0}
     plain = plain_for(c)
     if plain is not None:
-        out[plain] = 0.0
+        out[plain] = LOOK
     if c in LATIN_LOOKALIKES:
-        out[LATIN_LOOKALIKES[c]] = 0.0
+        out[LATIN_LOOKALIKES[c]] = LOOK
     for other, latin in LATIN_LOOKALIKES.items():
         if latin == c:
-            out.setdefault(other, 0.0)
+            out.setdefault(other, LOOK)
     if not c.isalnum() and "" not in out:
         out[""] = LAYOUT
     return tuple(out.items())
@@ -278,7 +287,7 @@ def normalize_by_table(text: str, words: Trie | None = None) -> str:
         if w.isascii() or not any(c in LATIN_LOOKALIKES for c in w):
             return w
         if not mixed(w):
-            known = words is not None and words.match(w, 0.0)
+            known = words is not None and words.match(w, 0)
             return known[0] if known else skeleton(w) if words is not None and recased(m, words) else w
         foreign = [c for c in w if _script(c) in ("C", "G", "A") and c not in LATIN_LOOKALIKES]
         if not foreign:
@@ -299,10 +308,14 @@ class Finder:
         self.vocabulary = {w for x in [*names, *others] for w in _WORD.findall(x)}
         self.words = Trie(self.vocabulary)
         self._name = functools.lru_cache(1 << 17)(self._name_of)
+        self.looks = functools.lru_cache(1 << 18)(self._looks)
 
-    def odd_name(self, text: str) -> bool:
-        """Does text reach a name of the master, but not by case, spaces and marks alone?"""
-        return key(text) not in self.names.keys and self.names.match(text) is not None
+    def _looks(self, text: str) -> int | None:
+        """How many look-alikes and ignorables lie on the cheapest path to a name of the master; None if there is no path."""
+        if text in self.known:
+            return 0
+        found = self.names.match(text)
+        return None if found is None else found[2]
 
     def odd_words(self, text: str) -> bool:
         for found in _WORD.finditer(text):
@@ -312,13 +325,24 @@ class Finder:
             if mixed(w):
                 return True
             if all(c in LATIN_LOOKALIKES for c in w) and w not in self.vocabulary:
-                if (m := self.words.match(w, 0.0)) and m[0] != w or recased(found, self.words):
+                if (m := self.words.match(w, 0)) and m[0] != w or recased(found, self.words):
                     return True
         return False
 
     def flagged(self, column: pa.Array, amounts: bool = False, names: bool = False) -> np.ndarray:
         """For each value of a string column (of amounts, of fund names): does it hold a character that isn't plain?"""
         column = pc.fill_null(column, "")
+        if names:
+            coded = column.dictionary_encode()
+            spelt = coded.dictionary
+            looks = [self.looks(x) if x else 0 for x in spelt.to_pylist()]
+            lost = pa.array([k for k, n in enumerate(looks) if n is None], pa.int64())
+            own = np.array([bool(n) for n in looks])
+            own[lost.to_numpy()] = self._by_table(spelt.take(lost), False)
+            return own[coded.indices.to_numpy()] if len(own) else np.zeros(len(column), bool)
+        return self._by_table(column, amounts)
+
+    def _by_table(self, column: pa.Array, amounts: bool) -> np.ndarray:
         points, starts = codepoints(column)
         kind = _classes(points)
         odd = np.concatenate([[0], np.cumsum(kind == BAD)])
@@ -327,7 +351,7 @@ class Finder:
         doubt = ~out & (look[starts[1:]] > look[starts[:-1]])
         for i in np.flatnonzero(doubt):
             text = column[int(i)].as_py()
-            out[i] = unicodedata.normalize("NFC", text) != text or (amounts and any(c in IN_NUMBERS for c in text)) or self.odd_words(text) or (names and self.odd_name(text)) or any(odd_number(m[0]) for m in _NUMBER_ANY.finditer(text))
+            out[i] = unicodedata.normalize("NFC", text) != text or (amounts and any(c in IN_NUMBERS for c in text)) or self.odd_words(text) or any(odd_number(m[0]) for m in _NUMBER_ANY.finditer(text))
         hint = pc.match_substring_regex(column, r"[OolI]" if amounts else _NUMBER_HINT).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(hint & ~out):
             text = column[int(i)].as_py()
