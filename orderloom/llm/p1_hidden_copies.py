@@ -5,7 +5,8 @@ all else is skipped) into two rolling polynomial hashes each; canonical strings
 by the hashes and the four columns that must be equal: first the hashes alone are counted (partial aggregation, eight
 bytes a row), then only rows whose hash occurs twice are shuffled with their text. Rows whose
 hashes collide are compared with the smallest row of their group by a two-pointer comparison that skips and folds
-while it runs. Rows that it tells apart (a true collision of 128 bits) are grouped once more by their exact text.
+while it runs. Rows that it tells apart (a true collision of 128 bits) are compared again among themselves, with the
+smallest of them, until none is left.
 
 Defined cases: null and empty fields are equal; null equals null in settle_class, order_type, base_date and t_day;
 an amount without a digit is compared by its letters and digits; zero has no sign; rows of problem 5 and rows
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .p5_lookalikes import finder, vocabulary
@@ -229,38 +230,35 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 i == k or same_text(a, x) and same_text(b, y) and same_amount(c, z)
                 for i, k, a, b, c, x, y, z in zip(*(cols[n] for n in ("order_id", "keep_id", *RAW, "rep_code", "rep_name", "rep_amount")))
             ]
-            keep = ["order_id", "keep_id", *RAW, *EQUAL]
+            keep = ["order_id", "keep_id", *RAW, *EQUAL, "h1", "h2"]
             blank = pa.array([not s for s in same])
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in keep]
             arrays[2:5] = [pc.if_else(blank, a, None) for a in arrays[2:5]]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(same)], [*keep, "same"])
 
-    return pairs.mapInArrow(run, "order_id long, keep_id long, raw_code string, raw_name string, raw_amount string, settle_class string, order_type string, base_date string, t_day int, same boolean")
-
-
-def canonical(column: Column) -> Column:
-    """The exact canonical string; used only for rows that the comparison told apart."""
-    return F.lower(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+    return pairs.mapInArrow(run, "order_id long, keep_id long, raw_code string, raw_name string, raw_amount string, settle_class string, order_type string, base_date string, t_day int, h1 long, h2 long, same boolean")
 
 
 def groups(orders: DataFrame, names: list[str], others: list[str]) -> DataFrame:
     """(keep_id, order_id) of every row that is in a set of two or more, the smallest row included."""
-    rows = members(checkpointed(hashed(orders, names, others)))
     keys = [*EQUAL, "h1", "h2"]
-    reps = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("order_id").alias("keep_id"), F.min_by(F.struct(*RAW), "order_id").alias("rep"))
-        .where("n > 1")
-        .select(*(F.col(k).alias(f"k_{k}") for k in keys), "keep_id", *(F.col(f"rep.{r}").alias(r.replace("raw", "rep")) for r in RAW))
-    )
-    joined = rows.join(reps, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
-    checked = checkpointed(_verified(joined.select("order_id", "keep_id", *RAW, "rep_code", "rep_name", "rep_amount", *EQUAL)))
-    exact = [*EQUAL, canonical(F.col("raw_code")).alias("c"), canonical(F.col("raw_name")).alias("d"), F.regexp_replace("raw_amount", r"[^0-9.\-]", "").alias("e")]
-    rest = checked.where("not same").select("order_id", *exact)
-    again = rest.groupBy(*EQUAL, "c", "d", "e").agg(F.min("order_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = again.select(*(F.col(c).alias(f"k_{c}") for c in again.columns if c != "keep_id"), "keep_id")
-    found = rest.join(again, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in [*EQUAL, "c", "d", "e"]]).select("keep_id", "order_id")
-    return checked.where("same").select("keep_id", "order_id").unionByName(found)
+    rest = members(checkpointed(hashed(orders, names, others)))
+    out = None
+    # one round, but for true collisions: each further one takes a set of copies off every group that holds several
+    while True:
+        reps = (
+            rest.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("order_id").alias("keep_id"), F.min_by(F.struct(*RAW), "order_id").alias("rep"))
+            .where("n > 1")
+            .select(*(F.col(k).alias(f"k_{k}") for k in keys), "keep_id", *(F.col(f"rep.{r}").alias(r.replace("raw", "rep")) for r in RAW))
+        )
+        joined = rest.join(reps, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
+        checked = checkpointed(_verified(joined.select("order_id", "keep_id", *RAW, "rep_code", "rep_name", "rep_amount", *keys)))
+        found = checked.where("same").select("keep_id", "order_id")
+        out = found if out is None else out.unionByName(found)
+        rest = checked.where("not same").select("order_id", *keys, *RAW)
+        if rest.isEmpty():
+            return out
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

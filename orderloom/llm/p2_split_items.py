@@ -1,7 +1,7 @@
 """Problem 2: items longer than a limit, cut into overlapping pieces at natural boundaries.
 
 Method: dynamic programming over boundary positions. The positions are section ends, table rows, lines and sentence
-ends (and, only where none of these lies within reach, spaces and arbitrary places); the cost of a plan is the sum
+ends, all of them (and, only where none of these lies within reach, all spaces, and every 50th place); the cost of a plan is the sum
 of its cuts' penalties, a small price a piece and the squared distance of each piece's size from the even share; a
 piece holds at most `limit` characters and shares exactly `overlap` with the next. Each item is planned on its own
 in an Arrow batch: no shuffle, and the table of plans is linear in the item's length.
@@ -30,8 +30,8 @@ SECTION, ROW, LINE, SENTENCE, SPACE, HARD, END = range(7)
 PENALTY = np.array([0.0, 0.5, 1.0, 2.0, 1e3, 1e4, 0.0])
 KINDS = ["section", "table row", "line", "sentence", "space", "hard", "end"]
 PIECE, BALANCE = 1.0, 4.0
-#: Of the boundaries in so many characters only the best is kept; hard places are so far apart.
-BLOCK, HARD_STEP = 20, 50
+#: Hard places, offered only where no natural boundary is within reach, are so far apart.
+HARD_STEP = 50
 
 _BOUNDARY = re.compile(
     r"(?P<section>\n+(?=(?:==== SECTION ====|<!-- SECTION -->|#{1,6} )))"
@@ -59,11 +59,10 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
     at, kind = np.array([*places, n], np.int64), np.array([*kinds, END], np.int64)
     inside = (at > overlap) & ((at < n) | (kind == END))
     at, kind = at[inside], kind[inside]
-    # the best of each block; of equals the last
-    order = np.lexsort((-at, PENALTY[kind], (at - 1) // BLOCK))
-    block = (at[order] - 1) // BLOCK
-    keep = order[np.concatenate([[True], block[1:] != block[:-1]])]
-    keep = np.union1d(keep, [len(at) - 1])
+    # two boundaries at one place (a section's end is a line's too): the better kind
+    order = np.lexsort((PENALTY[kind], at))
+    at, kind = at[order], kind[order]
+    keep = np.concatenate([[True], at[1:] != at[:-1]])
     at, kind = at[keep], kind[keep]
     reach = limit - overlap
     gaps = np.flatnonzero(np.diff(np.concatenate([[overlap], at])) > reach)
@@ -72,15 +71,14 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
         sort: list[int] = []
         for g in gaps:
             low, high = int(at[g - 1]) if g else overlap, int(at[g])
-            last = -BLOCK
             for m in re.finditer(r"\s+", text[low:high]):
-                if low < low + m.end() < high and m.end() - last >= BLOCK:
+                if m.end() < high - low:
                     more.append(low + m.end())
                     sort.append(SPACE)
-                    last = m.end()
-            for p in range(low + HARD_STEP, high, HARD_STEP):
+            step = max(1, min(HARD_STEP, reach // 4))
+            for p in range(low + step, high, step):
                 q = p
-                while q > p - HARD_STEP + 1 and (unicodedata.combining(text[q]) or text[q] in "‍️"):
+                while q > p - step + 1 and (unicodedata.combining(text[q]) or text[q] in "‍️"):
                     q -= 1
                 more.append(q)
                 sort.append(HARD)

@@ -202,3 +202,25 @@ def test_lines_that_only_sound_like_notices():
 def test_long_signature_lines():
     lines = ["Confirm please.", "", "-- ", "Osta Quilme", "Head of the Variable Annuity Operations and Fund Transfer Settlement Desk, Hollowmere Mutual", "o@x.example"]
     assert p3.classify(lines, "") == [True, True, False, False, False, False]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\n|", min_size=30, max_size=140), st.integers(14, 30), st.integers(0, 5))
+def test_the_plan_is_the_cheapest(text, limit, overlap):
+    """Against every plan over the same boundaries."""
+    import numpy as np
+
+    if len(text) <= limit:
+        return
+    at, kind = p2.boundaries(text, limit, overlap)
+    share = (len(text) - overlap) / -(-(len(text) - overlap) // (limit - overlap)) + overlap
+    price = lambda s, e, k: p2.PENALTY[k] + p2.PIECE + p2.BALANCE * ((e - s - share) / limit) ** 2
+    best = {0: 0.0}
+    starts = {0: 0}
+    for j, (e, k) in enumerate(zip(at, kind), 1):
+        reach = [(best[i] + price(s, e, k)) for i, s in starts.items() if i in best and e - s <= limit and s < e]
+        if reach:
+            best[j] = min(reach)
+        starts[j] = e - overlap
+    got = sum(price(s, e, k) for s, e, k in p2.plan(text, limit, overlap))
+    assert np.isclose(got, best[len(at)])
