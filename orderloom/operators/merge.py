@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from . import orders
 
-# An issue, and the field of an order that disproves it where every order has one.
-DISPROVED_BY = {"BASE_DATE_MISSING": "base_date", "TRANSFER_AMOUNT_MISSING": "transfer_amount", "SETTLE_CLASS_MISSING": "settle_class", "ORDER_TYPE_MISSING": "order_type", "T_DAY_MISSING": "t_day"}
-
-
 def latest(payloads: DataFrame) -> DataFrame:
     """The last run of every payload; a run repeated in full counts once."""
     cols = payloads.columns
@@ -35,19 +31,32 @@ def merged(payloads: DataFrame) -> DataFrame:
 
 
 def summary(payloads: DataFrame) -> DataFrame:
-    """One row about all documents together."""
+    """One row about all documents together; documents are in order of their id.
+
+    Lists of all documents would grow with the data, so names are counted and the first is given; issue codes, reasons
+    and models are few and listed in order of first appearance.
+    """
     n = F.size("orders")
-    codes = payloads.select(F.explode("issues").alias("u")).agg(F.count_distinct("u").alias("n_issue_codes"))
+    order = F.struct("payload_id", "run_no")
+    of = lambda c, first: payloads.select(F.explode(c).alias("u"), order.alias("k")).groupBy("u").agg(F.min("k").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "u"))), lambda x: x["u"]), first[1]).alias(first[0]))
+    reasons = F.when(F.trim(F.coalesce("reason", F.lit(""))) != "", F.array(F.trim("reason"))).otherwise(F.array().cast("array<string>"))
     got = payloads.agg(
         F.count(F.lit(1)).alias("file_count"),
         F.count_distinct("file_name").alias("n_file_names"),
+        F.min_by("file_name", order).alias("first_file"),
         F.when(F.min("model_name") == F.max("model_name"), F.min("model_name")).otherwise("").alias("model_name"),
         F.when(F.sum(n) > 0, "COMPLETED").when(F.every(F.col("status") == "SKIPPED"), "SKIPPED").otherwise("FAILED").alias("status"),
-        F.min("base_date").alias("first_base_date"),
+        F.min_by("base_date", F.when(F.col("base_date").isNotNull(), order)).alias("first_base_date"),
         F.sum(n).alias("n_orders"),
     )
-    # both sides are one row
-    return got.join(F.broadcast(codes), F.lit(True))
+    # all three are one row
+    return got.join(F.broadcast(of(F.col("issues"), ("issues", "|"))), F.lit(True)).join(F.broadcast(of(reasons, ("reasons", "; "))), F.lit(True))
+
+
+def first_dates(payloads: DataFrame) -> DataFrame:
+    """(payload_id, base_date): of each payload the first date that an order has, in the order of its orders."""
+    own = F.filter("orders", lambda o: F.coalesce(o["base_date"], F.lit("")) != "")
+    return payloads.select("payload_id", F.get(own, F.lit(0))["base_date"].alias("base_date"))
 
 
 def flat(payloads: DataFrame) -> DataFrame:

@@ -80,45 +80,28 @@ def aggregate(df: DataFrame) -> DataFrame:
     """
     d = dedupe_evidence(df)
     net = F.col("evidence_kind") == "execution"
-    facts = d.groupBy(*BUCKET).agg(
-        F.min(F.when(~net, F.col("order_type"))).alias("t1"), F.max(F.when(~net, F.col("order_type"))).alias("t2"), F.max(net).alias("has_net")
-    )
-    facts = facts.select(*(F.col(k).alias(f"f_{k}") for k in BUCKET), ((F.col("t1") < F.col("t2")) & ~F.col("has_net")).alias("apart"))
-    split = d.join(facts, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in BUCKET], "left").withColumn("side", F.when(F.col("apart"), F.col("order_type")).otherwise(""))
-    keys = [*BUCKET, "side"]
-    groups = split.groupBy(*keys).agg(
-        F.min(F.when(net, F.col("signed"))).alias("net_low"),
-        F.max(F.when(net, F.col("signed"))).alias("net_high"),
-        F.min_by("signed", F.when(net, F.col("ord"))).alias("net_first"),
-        F.sum(F.when(~net, F.col("signed"))).alias("explicit_sum"),
-        F.min_by(F.struct("fund_code", "fund_name"), "ord").alias("head"),
-        F.min("ord").alias("ord"),
-    )
-    values = split.where(net).groupBy(*keys, "signed").agg(F.lit(True).alias("agrees"))
-    values = values.select(*(F.col(k).alias(f"v_{k}") for k in keys), F.col("signed").alias("v_signed"), "agrees")
-    joined = groups.join(values, [F.col(k).eqNullSafe(F.col(f"v_{k}")) for k in keys] + [F.col("explicit_sum") == F.col("v_signed")], "left")
-    several = F.col("net_low") < F.col("net_high")
-    amount = (
-        F.when(F.col("net_low").isNull(), F.col("explicit_sum"))
-        .when(~several, F.col("net_low"))
-        .when(F.col("agrees"), F.col("explicit_sum"))
-        .otherwise(F.col("net_first"))
-        .cast(amounts.DECIMAL)
-    )
-    out = joined.select(
-        "doc_id",
-        F.col("head.fund_code").alias("fund_code"),
-        text.join_split_name(F.col("head.fund_name")).alias("fund_name"),
-        "settle_class",
-        F.when(amount < 0, "RED").otherwise("SUB").alias("order_type"),
-        "base_date",
-        "t_day",
-        amounts.render(amounts.snap(amount)).alias("transfer_amount"),
-        (F.coalesce(several, F.lit(False)) & F.col("agrees").isNull()).alias("conflict"),
-        "ord",
-        amount.alias("_a"),
-    )
-    return out.where("_a <> 0").drop("_a")
+
+    def part(own: Column) -> list[Column]:
+        of = lambda x: F.when(own, x)
+        return [F.sum(of(F.col("signed"))), F.min_by(F.struct("fund_code", "fund_name"), of(F.col("ord"))), F.min(of(F.col("ord")))]
+
+    parts = {"s": ~net & (F.col("order_type") == "SUB"), "r": ~net & (F.col("order_type") == "RED"), "o": ~net, "g": F.lit(True)}
+    facts = [c.alias(f"{k}_{n}") for k, own in parts.items() for n, c in zip(("sum", "head", "ord"), part(own))]
+    # a bucket's different net amounts are few: one a column of the document
+    g = d.groupBy(*BUCKET).agg(F.collect_set(F.when(net, F.col("signed"))).alias("nets"), F.min_by("signed", F.when(net, F.col("ord"))).alias("net_first"), *facts)
+    some = F.size("nets") > 0
+    agrees = F.array_contains("nets", F.col("o_sum").cast(amounts.DECIMAL))
+    chosen = F.when(~some, F.col("o_sum")).when(F.size("nets") == 1, F.get("nets", F.lit(0))).when(agrees, F.col("o_sum")).otherwise(F.col("net_first")).cast(amounts.DECIMAL)
+    one = lambda k, amount, conflict: F.struct(F.col(f"{k}_head").alias("head"), amount.cast(amounts.DECIMAL).alias("amount"), conflict.alias("conflict"), F.col(f"{k}_ord").alias("ord"))
+    apart = ~some & F.col("s_ord").isNotNull() & F.col("r_ord").isNotNull()
+    both = F.array(one("s", F.col("s_sum"), F.lit(False)), one("r", F.col("r_sum"), F.lit(False)))
+    whole = F.array(one("g", chosen, (F.size("nets") > 1) & ~F.coalesce(agrees, F.lit(False))))
+    x = g.select(*BUCKET, F.explode(F.when(apart, both).otherwise(whole)).alias("x")).where("x.amount <> 0")
+    amount = F.col("x.amount")
+    return x.select(
+        "doc_id", F.col("x.head.fund_code").alias("fund_code"), text.join_split_name(F.col("x.head.fund_name")).alias("fund_name"), "settle_class",
+        F.when(amount < 0, "RED").otherwise("SUB").alias("order_type"), "base_date", "t_day", amounts.render(amounts.snap(amount)).alias("transfer_amount"), F.col("x.conflict").alias("conflict"), F.col("x.ord").alias("ord"),
+    )
 
 
 def dedupe_orders(df: DataFrame, keys: list[str]) -> DataFrame:

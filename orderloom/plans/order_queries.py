@@ -70,8 +70,9 @@ def candidate_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which net amounts of one bucket contradict each other."""
-    return orders.aggregate(_live(spark, sf_dir)).where("conflict").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    """Documents whose evidence, every label read as one of net amounts, contradicts itself within a bucket."""
+    net = items(spark, sf_dir).withColumn("evidence_label", F.lit("정산액"))
+    return orders.aggregate(orders.live(orders.candidates(net))).where("conflict").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
 
 
 def drop_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,14 +189,8 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def issue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues a document keeps when its orders disprove them: a missing date where all orders have one, and so on."""
-    t = merge.latest(table(spark, sf_dir, "document_payloads"))
-    full = lambda f: (F.size("orders") > 0) & F.forall("orders", lambda o: F.coalesce(o[f], F.lit("")) != "")
-    kept = F.col("issues")
-    for code, field in merge.DISPROVED_BY.items():
-        kept = F.when(full(field), text.without_issue(kept, code)).otherwise(kept)
-    return t.select("payload_id", F.array_join(kept, "|").alias("kept"), text.has_issue(F.col("issues"), "TRANSFER_AMOUNT").alias("amount_issue"))
+def first_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.first_dates(merge.latest(table(spark, sf_dir, "document_payloads")))
 
 
 _LATEST = """l AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY run_no DESC, finished_at DESC) AS rn FROM document_payloads) WHERE rn = 1)"""
@@ -209,7 +204,7 @@ QUERIES = {
     for f in (
         candidate_rows, evidence_dedupe, candidate_aggregate, net_conflict, drop_issues, order_dedupe, direction_hints, output_orders, only_pending, sort_positions,
         amount_forms, contract_codes, amount_units, date_forms, label_classes, settle_and_type, name_keys, reason_codes,
-        payload_dedupe, latest_runs, merge_documents, merged_payload, flat_rows, issue_counts, issue_reconcile,
+        payload_dedupe, latest_runs, merge_documents, merged_payload, flat_rows, issue_counts, first_dates,
     )
 }
 
@@ -218,7 +213,7 @@ SQL = {
     "candidate_rows": f"WITH {_CANDIDATES} SELECT doc_id, ord, id_code, id_name, base_date, t_day, settle_class, order_type, evidence_kind, canonical, drop_reason FROM c",
     "evidence_dedupe": f"WITH {_DEDUPED} SELECT {_KEYS}, order_type, canonical, evidence_label, evidence_kind, ord FROM d",
     "candidate_aggregate": f"WITH {_ORDERS} SELECT * EXCLUDE (ord) FROM o",
-    "net_conflict": f"WITH {_ORDERS} SELECT doc_id, count(*) AS n_conflicts FROM o WHERE conflict GROUP BY doc_id",
+    "net_conflict": f"WITH {_ORDERS.replace('slot_id, evidence_label, transfer_amount, settle_class, order_type, reason_code FROM resolved_items', chr(39) + '정산액' + chr(39) + ' AS evidence_label, slot_id, transfer_amount, settle_class, order_type, reason_code FROM resolved_items')} SELECT doc_id, count(*) AS n_conflicts FROM o WHERE conflict GROUP BY doc_id",
     "drop_issues": f"WITH {_CANDIDATES} SELECT doc_id, drop_reason, count(*) AS n_rows FROM c WHERE drop_reason IS NOT NULL GROUP BY doc_id, drop_reason",
     "order_dedupe": f"WITH {_CANDIDATES} SELECT doc_id, id_code, id_name, base_date, t_day, settle_class, order_type, canonical, min(ord) AS ord, arg_min(fund_name, ord) AS fund_name FROM c WHERE drop_reason IS NULL GROUP BY ALL",
     "direction_hints": f"WITH {_CANDIDATES} SELECT doc_id, id_code, ltrim(canonical, '+-') AS unsigned, min(order_type) AS order_type FROM c WHERE drop_reason IS NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT order_type) = 1",
@@ -241,9 +236,10 @@ SELECT p_partkey, cell, CAST(d AS VARCHAR) AS number, trim(cell) IN ('-', '--')
     "payload_dedupe": f"WITH {_FLAT_SQL.format('document_payloads')}, y AS (SELECT *, {_RUN_KEY} AS k, {_OUT_IDS} FROM x) SELECT payload_id, {_O_COLS}, count(*) AS copies FROM y GROUP BY payload_id, {', '.join(f'i_{c}' for c in orders.OUTPUT[:-1])}, i_amount",
     "latest_runs": f"WITH {_LATEST} SELECT payload_id, run_no, status, base_date, CAST(len(orders) AS INTEGER) AS n_orders FROM l",
     "merge_documents": f"WITH {_LATEST}, {_FLAT_SQL.format('l')}, y AS (SELECT *, {_RUN_KEY} AS k, {_OUT_IDS} FROM x) SELECT {_O_COLS}, arg_min(payload_id, k) AS first_payload, arg_min(file_name, k) AS first_file, count(*) AS copies FROM y GROUP BY {', '.join(f'i_{c}' for c in orders.OUTPUT[:-1])}, i_amount",
-    "merged_payload": f"""WITH {_LATEST} SELECT count(*) AS file_count, count(DISTINCT file_name) AS n_file_names, CASE WHEN count(DISTINCT model_name) = 1 THEN min(model_name) ELSE '' END AS model_name,
- CASE WHEN sum(len(orders)) > 0 THEN 'COMPLETED' WHEN bool_and(status = 'SKIPPED') THEN 'SKIPPED' ELSE 'FAILED' END AS status, min(base_date) AS first_base_date, CAST(sum(len(orders)) AS BIGINT) AS n_orders,
- (SELECT count(DISTINCT u) FROM (SELECT unnest(issues) AS u FROM l)) AS n_issue_codes FROM l""",
+    "merged_payload": f"""WITH {_LATEST} SELECT count(*) AS file_count, count(DISTINCT file_name) AS n_file_names, arg_min(file_name, payload_id) AS first_file, CASE WHEN count(DISTINCT model_name) = 1 THEN min(model_name) ELSE '' END AS model_name,
+ CASE WHEN sum(len(orders)) > 0 THEN 'COMPLETED' WHEN bool_and(status = 'SKIPPED') THEN 'SKIPPED' ELSE 'FAILED' END AS status, arg_min(base_date, payload_id) FILTER (base_date IS NOT NULL) AS first_base_date, CAST(sum(len(orders)) AS BIGINT) AS n_orders,
+ (SELECT string_agg(u, '|' ORDER BY k, u) FROM (SELECT u, min(payload_id) AS k FROM (SELECT payload_id, unnest(issues) AS u FROM l) GROUP BY u)) AS issues, (SELECT string_agg(u, '; ' ORDER BY k, u) FROM (SELECT trim(reason) AS u, min(payload_id) AS k FROM l WHERE trim(reason) <> '' GROUP BY 1)) AS reasons FROM l""",
+    "first_dates": f"WITH {_LATEST} SELECT payload_id, list_filter(orders, lambda o: o.base_date <> '')[1].base_date AS base_date FROM l",
     "flat_rows": f"WITH {_LATEST}, {_FLAT_SQL.format('l')} SELECT file_name, source_path, model_name, coalesce(document_base_date, '') AS document_base_date, array_to_string(issues, '|') AS issues, {', '.join(f'coalesce(o.{c}, {chr(39)}{chr(39)}) AS {c}' for c in orders.OUTPUT)} FROM x",
     "issue_counts": f"WITH {_LATEST} SELECT issue, count(*) AS n_documents FROM (SELECT unnest(issues) AS issue FROM l) GROUP BY issue",
 }

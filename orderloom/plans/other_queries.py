@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsons, text
@@ -15,6 +15,8 @@ from ..operators import layout, stages
 from ..sources import html, mail
 from ..streaming import landing
 from . import pipeline
+from . import sql as S
+from . import table_sql as T
 from .document_queries import docs, tabs
 from .order_queries import items
 from .tables import table
@@ -27,7 +29,7 @@ _ANSWER = {
 def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object in answers that wrap it in thoughts, fences and prose."""
     e = table(spark, sf_dir, "events").select("event_id", "props", F.expr(_ANSWER["spark"]).alias("answer"))
-    return e.select("event_id", F.coalesce(jsons.recover(F.col("answer")) == F.col("props"), F.lit(False)).alias("same"))
+    return e.select("event_id", jsons.recover(F.col("answer")).alias("object"))
 
 
 def stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +46,14 @@ def stage_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold a date, with whether the line before, itself or the two after speak of a base date."""
-    d = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    w = W.partitionBy("doc_id").orderBy("p").rowsBetween(-1, 2)
-    near = F.max(F.col("line").rlike("기준일|Date:")).over(w)
-    found = F.regexp_extract("line", r"\d{4}-\d{2}-\d{2}", 0)
-    return d.select("doc_id", (F.col("p") + 1).alias("line_no"), found.alias("date"), near.alias("near_label")).where("date <> ''")
+
+    def found(lines: Column) -> Column:
+        near = lambda i: F.exists(F.slice(lines, F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3)), lambda x: x.rlike("기준일|Date:"))
+        hits = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(x, r"\d{4}-\d{2}-\d{2}", 0).alias("date"), i.alias("i"))), lambda h: h["date"] != "")
+        return F.transform(hits, lambda h: F.struct(h["line_no"].alias("line_no"), h["date"].alias("date"), near(h["i"]).alias("near_label")))
+
+    d = docs(spark, sf_dir).where("text IS NOT NULL")
+    return d.select("doc_id", F.explode(text.let(F.split("text", "\n"), found)).alias("h")).select("doc_id", "h.*")
 
 
 def bucket_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +98,14 @@ def mail_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orderloom-")
-    return os.path.join(folder, f"stream-{uuid.uuid4().hex}")
+    """A new folder below the one that all executors share; a session on one machine without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="orderloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +137,9 @@ def blocking_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each label stands for each role, over all tables."""
-    z = tabs(spark, sf_dir).select(layout.posexplode(F.arrays_zip("header", "roles")).alias("c", "z")).where("c IS NOT NULL")
-    return z.groupBy(F.col("z.header").alias("label"), F.col("z.roles").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    """How often each label heads a column, and what it stands for, over all tables."""
+    z = tabs(spark, sf_dir).select(layout.posexplode("classes").alias("c", "z")).where("c IS NOT NULL")
+    return z.groupBy("z.label", "z.any", "z.net", "z.context", "z.identity", "z.strong", "z.mixed", "z.relevant").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -136,10 +147,22 @@ QUERIES = {
     for f in (json_recover, stage_batches, stage_settle, date_context, bucket_keys, html_round_trip, mail_headers, stream_first_orders, stream_event_counts, document_orders, blocking_gate, table_roles)
 }
 SQL = {
-    "json_recover": "SELECT event_id, NOT (event_id % 4 = 3 OR props IS NULL) AS same FROM events",
+    "json_recover": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN props END AS object FROM events",
     "stage_batches": "WITH r AS (SELECT payload_id AS doc_id, count(*) OVER (PARTITION BY payload_id) AS n, row_number() OVER (PARTITION BY payload_id) AS i FROM resolved_items) SELECT doc_id, CAST(floor((i - 1) / CASE WHEN n > 6 THEN 6 ELSE 12 END) AS INTEGER) AS batch, count(*) AS n_items FROM r GROUP BY 1, 2",
     "stage_settle": "SELECT payload_id AS doc_id, count(*) AS n_items, count(*) FILTER (settle_class IS NULL AND slot_id NOT LIKE 'T%') AS n_missing FROM resolved_items GROUP BY 1",
     "date_context": r"WITH l AS (SELECT payload_id AS doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS line_no FROM task_payloads WHERE raw_text IS NOT NULL), w AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS date, bool_or(regexp_matches(line, '기준일|Date:')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near_label FROM l) SELECT * FROM w WHERE date <> ''",
     "mail_headers": r"SELECT payload_id, nullif(regexp_extract(raw_text, '(?m)^Date \(Asia/Seoul\): ([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1), '') AS day, nullif(regexp_extract(raw_text, '(?m)^Date \(Asia/Seoul\): ([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1), '') AS written_day FROM task_payloads WHERE content_type = 'message/rfc822' AND raw_text IS NOT NULL",
     "blocking_gate": f"SELECT payload_id AS doc_id, order_id FROM order_extractions o WHERE NOT EXISTS (SELECT 1 FROM (SELECT payload_id AS p, unnest(issues) AS issue FROM document_payloads) WHERE p = o.payload_id AND regexp_extract(issue, '^[A-Z_]+') IN ({', '.join(repr(x) for x in pipeline.BLOCKING)}))",
+    "table_roles": f"WITH {T.GRID}, {T.LABELS} SELECT label, pays AS \"any\", net, context, identity, strong, mixed, relevant, count(*) AS n FROM col GROUP BY ALL",
+    "document_orders": f"WITH {T.TABLE_ORDERS} SELECT DISTINCT doc_id, fund_code, fund_name, {S.output_codes('settle_class', 'order_type', 't_day')}, base_date, {S.output_amount('transfer_amount', 'order_type')} AS transfer_amount FROM tor",
+    "stream_event_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_first_orders": f"""WITH m AS (SELECT *, {S.output_codes("settle_class", "order_type", "t_day").replace(" AS settle_class", " AS s").replace(" AS order_type", " AS k").replace(" AS t_day", " AS d")}, {S.output_amount("transfer_amount", "order_type")} AS e FROM order_extractions),
+o AS (SELECT DISTINCT coalesce(trim(fund_code), ''), coalesce(trim(fund_name), ''), s AS settle_class, k AS order_type, coalesce(trim(base_date), ''), coalesce(trim(d), ''), coalesce({S.canonical("e")}, trim(e), '') FROM m)
+SELECT settle_class, order_type, count(*) AS n FROM o GROUP BY 1, 2""",
+    "bucket_keys": r"""WITH t AS (SELECT DISTINCT evidence_label, base_date, TRY_CAST(base_date AS DATE) AS b FROM resolved_items WHERE evidence_label IS NOT NULL AND base_date IS NOT NULL),
+l AS (SELECT DISTINCT concat(evidence_label, CASE WHEN day(b) % 3 = 0 THEN concat(' (', month(b + 2), '월 ', day(b + 2), '일)') ELSE '' END) AS label, base_date, b FROM t),
+m AS (SELECT *, lower(label) AS low, TRY_CAST(regexp_extract(label, '(?i)t\s*\+\s*([0-9]+)', 1) AS INTEGER) AS plus, TRY_CAST(regexp_extract(label, '([0-9]{1,2})\s*월\s*[0-9]{1,2}\s*일', 1) AS INTEGER) AS mm, TRY_CAST(regexp_extract(label, '[0-9]{1,2}\s*월\s*([0-9]{1,2})\s*일', 1) AS INTEGER) AS dd FROM l)
+SELECT label, base_date, CASE WHEN plus IS NOT NULL THEN concat('T+', plus) WHEN contains(low, '익영업일') THEN concat('T+', 1) WHEN mm IS NOT NULL THEN concat('M', lpad(CAST(mm AS VARCHAR), 2, '0'), 'D', lpad(CAST(dd AS VARCHAR), 2, '0'))
+ WHEN regexp_matches(low, '당일|확정|실행|설정금액|해지금액|입금액|출금액|투입금액|인출금액|순유입|순투입|결제금액|buy|sell|settlement amount|execution amount|subscription|redemption') THEN 'T0' ELSE 'COL_3' END AS bucket,
+ CASE WHEN plus IS NOT NULL THEN plus WHEN mm IS NOT NULL THEN CAST(date_diff('day', b, make_date(year(b), mm, dd)) AS INTEGER) END AS days FROM m""",
 }

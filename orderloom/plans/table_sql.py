@@ -85,7 +85,7 @@ hd2 AS (SELECT *, row_number() OVER (PARTITION BY {_B}, col_no, part ORDER BY ro
 hdr AS (SELECT {_B}, col_no, coalesce(string_agg(part, ' / ' ORDER BY row_no) FILTER (part <> '' AND nth = 1), '') AS label FROM hd2 GROUP BY {_B}, col_no)"""
 
 _any = "(core OR explicit OR net OR scheduled OR ordered)"
-LABELS = rf"""la0 AS (SELECT DISTINCT label, lower(label) AS low, regexp_replace(label, '[^0-9a-z가-힣]+', '', 'g') AS bare, regexp_replace(lower(label), '[^0-9a-z가-힣]+', '', 'g') AS key, replace(lower(label), ' ', '') AS tight FROM hdr),
+LABELS = rf"""la0 AS (SELECT DISTINCT label, lower(label) AS low, regexp_replace(label, '[^0-9a-z가-힣]+', '', 'g') AS bare, regexp_replace(lower(label), '[^0-9a-z가-힣]+', '', 'g') AS key, coalesce(list_filter(list_transform(string_split(lower(label), '/'), lambda z: trim(z)), lambda z: z <> '' AND NOT regexp_full_match(z, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND z NOT IN ('운용지시서', 'buy&sell'))[-1], lower(label)) AS part FROM hdr),
 la1 AS (SELECT *, {words("low", *_UNITS)} AS units, {words("low", *_SIDE)} AS side, {words("low", "합산", "누계", "총합", "subtotal", "total", "ratio", "nav대비", "nav ratio")} AS sums, bare IN ('금액', '금액원', 'amount', 'amountkrw', 'amountwon') AS plain FROM la0),
 la2 AS (SELECT *, NOT units AND {words("low", *_ORDER)} AND NOT regexp_matches(low, '^순[투유]입') AS ordered, NOT units AND {words("low", *_EXPLICIT)} AS explicit, {words("low", *_NET)} AS net,
  NOT units AND regexp_matches(low, '예정|청구|예상|t\+|t일|d\s*\+\s*[0-9]+|익+영업일|제\s*[0-9]+\s*영업일|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {words("low", "금액", "amount", "투입", "인출", "입금", "출금", "buy", "sell", "subscription", "redemption")} AS scheduled,
@@ -93,7 +93,7 @@ la2 AS (SELECT *, NOT units AND {words("low", *_ORDER)} AND NOT regexp_matches(l
 la3 AS (SELECT *, NOT sums AND NOT units AND NOT {words("low", "보수", "fee", "이용료", "수령", "receipt", "회계", "초기자금", "발생", "계정")} AND (explicit OR net OR scheduled OR generic OR ordered) AS core,
  {words("low", *_CONTEXT_LATIN)} OR {words("bare", *_CONTEXT_HANGUL)} OR bare IN ('거래유형', '거래유형명') AS context, contains(bare, '구분') OR bare IN ('거래유형', '거래유형명') OR {words("low", "transaction", "type")} AS grouping,
  NOT side AND ({words("low", "fund code", "fund name", "product name", "asset name", "manager", "custodian")} OR {words("bare", "펀드코드", "수탁코드", "펀드명", "상품명", "자산명", "운용사", "수탁은행", "판매사", "환매사")}) AS strong,
- label <> '' AND NOT explicit AND NOT net AND NOT scheduled AND NOT ordered AND NOT side AND NOT units AND NOT {words("low", "transaction", "type", "content", "detail", "description", "memo", "date", "settlement", "nav", "price", "custodian", "buy&sell")} AND NOT {words("bare", "구분", "내용", "적요", "사유", "비고", "기준일", "결제일", "기준가", "수탁은행", "수익은행")} AS identity FROM la2),
+ label <> '' AND NOT explicit AND NOT net AND NOT scheduled AND NOT ordered AND NOT side AND NOT {words("part", *_UNITS)} AND NOT {words("part", "transaction", "type", "content", "detail", "description", "memo", "date", "settlement", "nav", "price", "custodian", "buy&sell")} AND NOT {words("regexp_replace(part, '[^0-9a-z가-힣]+', '', 'g')", "구분", "내용", "적요", "사유", "비고", "기준일", "결제일", "기준가", "수탁은행", "수익은행")} AS identity FROM la2),
 lab AS (SELECT *, {_any} AS pays, units AND {_any} AS mixed, NOT sums AND (plain OR CASE WHEN units AND {_any} THEN {words("low", "금액", "amount")} ELSE NOT units AND {_any} END) AS relevant FROM la3),
 col AS (SELECT h.doc_id, h.section_no, h.block_no, h.col_no, l.* FROM hdr h JOIN lab l USING (label)),
 cat AS (SELECT {_B}, coalesce(min(col_no) FILTER ({words("low", "펀드코드", "fund code")} OR {words("key", "펀드코드", "fundcode")}), min(col_no) FILTER ({words("low", "수탁코드", "code")})) AS code_at,

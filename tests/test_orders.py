@@ -60,7 +60,7 @@ def test_merging_documents(spark):
     got = sorted((r.order_type, r.transfer_amount, r.first_file, r.copies) for r in merge.merged(last).collect())
     assert got == [("1", "5", "a.xlsx", 1), ("3", "23,213.40", "a.xlsx", 3)]
     one = merge.summary(last).first()
-    assert (one.file_count, one.status, one.n_orders, one.model_name, one.n_issue_codes) == (3, "COMPLETED", 4, "m", 1)
+    assert (one.file_count, one.status, one.n_orders, one.model_name, one.issues, one.reasons, one.first_base_date, one.first_file) == (3, "COMPLETED", 4, "m", "X", "r", "2025-11-28", "a.xlsx")
     assert merge.flat(last).count() == 4
 
 
