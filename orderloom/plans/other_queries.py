@@ -53,7 +53,7 @@ def date_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(hits, lambda h: F.struct(h["line_no"].alias("line_no"), h["date"].alias("date"), near(h["i"]).alias("near_label")))
 
     d = docs(spark, sf_dir).where("text IS NOT NULL")
-    return d.select("doc_id", F.explode(text.let(F.split("text", "\n"), found)).alias("h")).select("doc_id", "h.*")
+    return d.select("doc_id", layout.posexplode(text.let(F.split("text", "\n"), found)).alias("p", "h")).where("p IS NOT NULL").select("doc_id", "h.*")
 
 
 def bucket_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
