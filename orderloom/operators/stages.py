@@ -127,3 +127,57 @@ def run_stage(items: DataFrame, stage: str, backend: Backend | None = None, prom
 def unpacked(stage_rows: DataFrame, schema: str) -> DataFrame:
     """The items of a stage's output, one row each."""
     return stage_rows.select("doc_id", F.explode(F.from_json("items_json", f"array<struct<{schema}>>")).alias("x")).select("doc_id", "x.*")
+
+
+def compared(current: DataFrame, candidate: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, delta): what a retry's items change: 'added', 'missing', 'filled' (a field more), 'lost' (one less),
+    'changed', 'same'. One union and one aggregation; keys compare null-safely."""
+    pack = F.struct(*(F.col(f).cast("string").alias(f) for f in fields))
+    a = current.select(*keys, pack.alias("a"), F.lit(None).cast(pack_type(fields)).alias("b"))
+    b = candidate.select(*keys, F.lit(None).cast(pack_type(fields)).alias("a"), pack.alias("b"))
+    n = a.unionByName(b).groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    filled = lambda s: sum((F.when(F.col(f"{s}.{f}").isNotNull(), 1).otherwise(0) for f in fields), F.lit(0))
+    delta = (
+        F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "same")
+        .when(filled("b") > filled("a"), "filled").when(filled("b") < filled("a"), "lost").otherwise("changed")
+    )
+    return n.select(*keys, delta.alias("delta"))
+
+
+def pack_type(fields: list[str]) -> str:
+    return "struct<" + ", ".join(f"{f}: string" for f in fields) + ">"
+
+
+def distinct_items(items: DataFrame, without: tuple[str, ...] = ("ord", "reason_code", "reason_summary")) -> DataFrame:
+    """Items that differ in nothing but their order and their reasons once, the first kept, with the first reason there is."""
+    keys = [c for c in items.columns if c not in without]
+    rest = [c for c in without if c in items.columns and c != "ord"]
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in rest]
+    return items.groupBy(*keys).agg(F.min("ord").alias("ord"), *firsts).select(*items.columns)
+
+
+def settled_slots(items: DataFrame, family: list[str]) -> DataFrame:
+    """Of several items of a family and evidence label the one of the highest score, the first of equals; adds `tied`.
+
+    The score counts, in this order: the label names the item's day, its amount is there, its slot's name agrees with
+    its day, filled fields. The best are found by one aggregation, not by sorting a hot label in one task.
+    """
+    day = F.regexp_extract(F.coalesce("evidence_label", F.lit("")), r"(?i)t\s*\+\s*(\d+)", 1)
+    agrees = F.coalesce(F.col("slot_id").startswith(F.concat(F.lit("T"), F.col("t_day").cast("string"), F.lit("_"))), F.lit(False))
+    filled = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("t_day", "slot_id", "transfer_amount", "settle_class", "order_type")), F.lit(0))
+    score = F.struct((day == F.col("t_day").cast("string")).cast("int").alias("a"), F.col("transfer_amount").isNotNull().cast("int").alias("b"), agrees.cast("int").alias("c"), filled.alias("d"))
+    keys = [*family, "evidence_label"]
+    rest = [c for c in items.columns if c not in keys]
+    one = items.select(*keys, score.alias("s"), F.struct("ord", *[c for c in rest if c != "ord"]).alias("r"))
+    # within one key and score the first, then of one key the best score
+    n = one.groupBy(*keys, "s").agg(F.min_by("r", "r.ord").alias("r"), F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(*keys).agg(F.max_by(F.struct("r", "n"), "s").alias("x"))
+    return best.select(*keys, "x.r.*", (F.col("x.n") > 1).alias("tied")).select(*items.columns, "tied")
+
+
+def complete_slots(items: DataFrame, expected: DataFrame, family: list[str]) -> DataFrame:
+    """(doc_id, complete): has every family of a document exactly the slots that its tables give? Both: doc_id, family, t_day, kind."""
+    cols = ["doc_id", *family, "t_day", "kind"]
+    a = items.select(*cols, F.lit(True).alias("l"), F.lit(False).alias("r"))
+    n = a.unionByName(expected.select(*cols, F.lit(False).alias("l"), F.lit(True).alias("r"))).groupBy(*cols).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return n.groupBy("doc_id").agg(F.every(F.col("l") & F.col("r")).alias("complete"))

@@ -10,15 +10,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, jsons, text
-from ..operators import layout, stages
+from ..functions import dates, jsons, reasons, text
+from ..operators import builders, layout, render, stages
 from ..sources import html, mail
 from ..streaming import landing
 from . import pipeline
 from . import sql as S
 from . import table_sql as T
-from .document_queries import docs, tabs
-from .order_queries import items
+from .document_queries import docs, recovered, tabs
+from .order_queries import _ITEMS, items
 from .tables import table
 
 _ANSWER = {
@@ -142,9 +142,67 @@ def table_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("z.label", "z.any", "z.net", "z.context", "z.identity", "z.strong", "z.mixed", "z.relevant").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reason_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which evidence each item's day, settlement, direction and amount come from, counted."""
+    i = items(spark, sf_dir)
+    d, s, a, e = (F.col(c) for c in ("t_day", "slot_id", "transfer_amount", "evidence_label"))
+    r = i.select(reasons.slot_reason(d, s, e).alias("slot"), reasons.settle_reason(d, e).alias("settle"), reasons.type_reason(a, e).alias("type"), reasons.amount_reason(d, a, e).alias("amount"))
+    return r.groupBy("slot", "settle", "type", "amount").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots that tables give each fund: their names, by day and direction or net."""
+    c = builders.cells_of(recovered(spark, sf_dir)).where("order_type IS NOT NULL AND t_day IS NOT NULL AND fund_code IS NOT NULL")
+    return c.select("doc_id", "fund_code", reasons.slot_id(F.col("t_day"), reasons.slot_kind(F.col("order_type"), F.col("signed"))).alias("slot_id")).distinct()
+
+
+def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.document_markdown(docs(spark, sf_dir))
+
+
+def markdown_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which classes of its tables' tokens a document's stored structured text lacks."""
+    p = table(spark, sf_dir, "task_payloads").where("markdown_text IS NOT NULL").select(F.col("payload_id").alias("doc_id"), "markdown_text", (F.col("content_type") == "text/html").alias("html"))
+    j = p.join(render.audit_of(tabs(spark, sf_dir)), "doc_id", "left")
+    return j.select("doc_id", F.array_join(render.loss_reasons(F.col("markdown_text"), F.col("audit"), F.coalesce("html", F.lit(False))), "|").alias("reasons"))
+
+
+def model_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a model is given for each document: its length, and whether the structured part comes back."""
+    p = table(spark, sf_dir, "task_payloads").where("markdown_text IS NOT NULL").select("payload_id", "markdown_text", render.model_context(F.col("markdown_text"), F.col("raw_text")).alias("c"))
+    return p.select("payload_id", F.length("c").alias("n_chars"), (render.structured_view(F.col("c")) == F.col("markdown_text")).alias("same"))
+
+
+def stage_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage items once each, reasons aside: how many of each document."""
+    return stages.distinct_items(items(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.count("reason_code").alias("n_reasons"))
+
+
+def stale_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of items of one fund, date and label the best; those that tie are told."""
+    i = items(spark, sf_dir).withColumn("fund", F.coalesce(text.squeeze(F.col("fund_code")), F.lit("")))
+    best = stages.settled_slots(i.select("doc_id", "fund", "base_date", "evidence_label", "ord", "t_day", "slot_id", "transfer_amount", "settle_class", "order_type"), ["doc_id", "fund", "base_date"])
+    return best.select("doc_id", "fund", "base_date", "evidence_label", "ord", "tied")
+
+
+def retry_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the deterministic stage changes of the items that it gets, by kind of change."""
+    i = items(spark, sf_dir).select("doc_id", "ord", "slot_id", "settle_class").distinct()
+    out = stages.unpacked(stages.run_stage(i, "settle_class"), "ord string, slot_id string, settle_class string")
+    return stages.compared(i, out, ["doc_id", "ord"], ["slot_id", "settle_class"]).groupBy("doc_id", "delta").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose items fill exactly the slots that their tables give."""
+    i = items(spark, sf_dir).select("doc_id", F.coalesce(text.squeeze(F.col("fund_code")), F.lit("")).alias("fund"), "t_day", F.regexp_extract(F.coalesce("slot_id", F.lit("")), "_(.*)", 1).alias("kind")).distinct()
+    c = builders.cells_of(recovered(spark, sf_dir)).where("order_type IS NOT NULL AND t_day IS NOT NULL AND fund_code IS NOT NULL")
+    e = c.select("doc_id", F.col("fund_code").alias("fund"), "t_day", reasons.slot_kind(F.col("order_type"), F.col("signed")).alias("kind")).distinct()
+    return stages.complete_slots(i, e, ["fund"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (json_recover, stage_batches, stage_settle, date_context, bucket_keys, html_round_trip, mail_headers, stream_first_orders, stream_event_counts, document_orders, blocking_gate, table_roles)
+    for f in (json_recover, stage_batches, stage_settle, date_context, bucket_keys, html_round_trip, mail_headers, stream_first_orders, stream_event_counts, document_orders, blocking_gate, table_roles, reason_kinds, slot_names, document_markdown, markdown_audit, model_contexts, stage_distinct, stale_siblings, retry_delta, slots_complete)
 }
 SQL = {
     "json_recover": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN props END AS object FROM events",
@@ -165,4 +223,19 @@ m AS (SELECT *, lower(label) AS low, TRY_CAST(regexp_extract(label, '(?i)t\s*\+\
 SELECT label, base_date, CASE WHEN plus IS NOT NULL THEN concat('T+', plus) WHEN contains(low, '익영업일') THEN concat('T+', 1) WHEN mm IS NOT NULL THEN concat('M', lpad(CAST(mm AS VARCHAR), 2, '0'), 'D', lpad(CAST(dd AS VARCHAR), 2, '0'))
  WHEN regexp_matches(low, '당일|확정|실행|설정금액|해지금액|입금액|출금액|투입금액|인출금액|순유입|순투입|결제금액|buy|sell|settlement amount|execution amount|subscription|redemption') THEN 'T0' ELSE 'COL_3' END AS bucket,
  CASE WHEN plus IS NOT NULL THEN plus WHEN mm IS NOT NULL THEN CAST(date_diff('day', b, make_date(year(b), mm, dd)) AS INTEGER) END AS days FROM m""",
+    "reason_kinds": f"""WITH {_ITEMS}, l AS (SELECT t_day, coalesce(slot_id, '') AS slot_id, lower(coalesce({S.squeeze("evidence_label")}, '')) AS e, coalesce({S.canonical("transfer_amount")}, '') AS a FROM i),
+m AS (SELECT *, regexp_matches(e, '예정|청구|예상|t\\+|익+영업일|제\\s*[0-9]+\\s*영업일|[0-9]{{1,2}}\\s*월\\s*[0-9]{{1,2}}\\s*일|[0-9]{{1,2}}[/-][0-9]{{1,2}}') AS sched, regexp_matches(e, '익+영업일|제\\s*[0-9]+\\s*영업일') AS biz, {T.words("e", "순유입", "순투입", "증감금액", "증감액", "펀드계", "정산액", "당일이체금액", "이체예상금액", "이체예정금액", "실행금액", "결제금액", "execution", "settlement amount")} AS net,
+ CASE WHEN {T._meta.replace("(low,", "(e,")} THEN NULL ELSE {T.direction("e")} END AS way, {T.words("e", "설정금액", "해지금액", "입금액", "출금액", "투입금액", "인출금액", "buy", "sell", "subscription", "redemption")} AS expl FROM l)
+SELECT CASE WHEN t_day >= 1 THEN CASE WHEN biz THEN 'SLOT_BUSINESS_DAY_HEADER' ELSE 'SLOT_TPLUS_SCHEDULE' END WHEN net OR suffix(slot_id, '_NET') THEN 'SLOT_T0_NET' WHEN way IS NOT NULL THEN concat('SLOT_T0_EXPLICIT_', way) ELSE 'SLOT_OTHER_VERIFIED' END AS slot,
+ CASE WHEN sched THEN CASE WHEN biz THEN 'SETTLE_BUSINESS_DAY_HEADER' ELSE 'SETTLE_FUTURE_LABEL' END WHEN {T.words("e", "정산액", "결제금액", "실행금액", "execution", "settlement", "결제일", "processed")} THEN 'SETTLE_PROCESSED_RESULT' WHEN {T.words("e", "당일", "확정", "설정금액", "해지금액", "입금액", "출금액", "buy", "sell", "subscription", "redemption")} THEN 'SETTLE_SAME_DAY_LABEL' WHEN t_day IS NOT NULL THEN 'SETTLE_TDAY_FALLBACK' ELSE 'SETTLE_OTHER_VERIFIED' END AS settle,
+ CASE WHEN starts_with(a, '-') THEN 'ORDER_SIGN_NEGATIVE' WHEN way IS NOT NULL THEN concat('ORDER_LABEL_', way) WHEN contains(e, 'transaction type') OR contains(e, 'buy&sell') OR e = '구분' THEN 'ORDER_TRANSACTION_TYPE' ELSE 'ORDER_OTHER_VERIFIED' END AS type,
+ CASE WHEN net THEN 'AMOUNT_NET_COLUMN' WHEN t_day >= 1 OR sched THEN 'AMOUNT_SCHEDULE_BUCKET' WHEN way IS NOT NULL THEN concat('AMOUNT_EXPLICIT_', way) WHEN starts_with(a, '-') THEN 'AMOUNT_SIGNED_OUTFLOW' ELSE 'AMOUNT_OTHER_VERIFIED' END AS amount, count(*) AS n FROM m GROUP BY 1, 2, 3, 4""",
+    "slot_names": f"WITH {T.UNPIVOT} SELECT DISTINCT doc_id, fund_code, concat('T', t_day, '_', CASE WHEN signed THEN 'NET' ELSE order_type END) AS slot_id FROM am WHERE order_type IS NOT NULL AND fund_code IS NOT NULL",
+    "model_contexts": "SELECT payload_id, CAST(length(markdown_text) + CASE WHEN coalesce(raw_text, '') = '' THEN 0 ELSE 31 + CASE WHEN length(raw_text) > 14000 THEN 14005 ELSE length(raw_text) END END AS INTEGER) AS n_chars, true AS same FROM task_payloads WHERE markdown_text IS NOT NULL",
+    "stage_distinct": f"WITH {_ITEMS}, d AS (SELECT doc_id, fund_code, fund_name, base_date, t_day, slot_id, evidence_label, transfer_amount, settle_class, order_type, count(reason_code) > 0 AS has FROM i GROUP BY ALL) SELECT doc_id, count(*) AS n_items, count(*) FILTER (has) AS n_reasons FROM d GROUP BY doc_id",
+    "stale_siblings": f"""WITH {_ITEMS}, s AS (SELECT *, coalesce({S.squeeze("fund_code")}, '') AS fund, [coalesce((regexp_extract(coalesce(evidence_label, ''), '(?i)t\\s*\\+\\s*([0-9]+)', 1) = CAST(t_day AS VARCHAR))::INT, -1), (transfer_amount IS NOT NULL)::INT, coalesce(starts_with(slot_id, concat('T', CAST(t_day AS VARCHAR), '_')) AND t_day IS NOT NULL, false)::INT, (t_day IS NOT NULL)::INT + (slot_id IS NOT NULL)::INT + (transfer_amount IS NOT NULL)::INT + (settle_class IS NOT NULL)::INT + (order_type IS NOT NULL)::INT] AS sc FROM i),
+m AS (SELECT *, max(sc) OVER (PARTITION BY doc_id, fund, base_date, evidence_label) AS top FROM s) SELECT doc_id, fund, base_date, evidence_label, min(ord) AS ord, count(*) > 1 AS tied FROM m WHERE sc = top GROUP BY doc_id, fund, base_date, evidence_label""",
+    "retry_delta": f"WITH {_ITEMS}, d AS (SELECT DISTINCT doc_id, ord, slot_id, settle_class FROM i) SELECT doc_id, CASE WHEN settle_class IS NULL AND starts_with(slot_id, 'T') THEN 'filled' ELSE 'same' END AS delta, count(*) AS n FROM d GROUP BY 1, 2",
+    "slots_complete": f"""WITH {T.UNPIVOT}, {_ITEMS}, a AS (SELECT DISTINCT doc_id, coalesce({S.squeeze("fund_code")}, '') AS fund, t_day, regexp_extract(coalesce(slot_id, ''), '_(.*)', 1) AS kind FROM i), b AS (SELECT DISTINCT doc_id, fund_code AS fund, t_day, CASE WHEN signed THEN 'NET' ELSE order_type END AS kind FROM am WHERE order_type IS NOT NULL AND fund_code IS NOT NULL),
+n AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AS both_have FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.fund IS NOT DISTINCT FROM b.fund AND a.t_day IS NOT DISTINCT FROM b.t_day AND a.kind IS NOT DISTINCT FROM b.kind) SELECT doc_id, bool_and(both_have) AS complete FROM n GROUP BY doc_id""",
 }

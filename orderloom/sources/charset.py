@@ -17,10 +17,9 @@ def candidates(raw: bytes, declared: str | None = None) -> list[str]:
             out.append(name)
     if declared:
         out.append(declared.strip().strip("\"'").lower())
-    if m := _META.search(raw[:4096]):
+    if m := _META.search(raw):
         out.append(m[1].decode("ascii").lower())
-    head = raw[:400]
-    if len(head) > 8 and head[1::2].count(0) > len(head) // 4:
+    if len(raw) > 8 and raw[1::2].count(0) > len(raw) // 4:
         out.append("utf-16-le")
     out += DEFAULTS
     return list(dict.fromkeys(ALIASES.get(x, x) for x in out))

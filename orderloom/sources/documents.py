@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,13 +27,24 @@ NO_READER = {"pdf": "a PDF needs a text extractor that isn't installed; load its
 SCHEMA = "source_path string, file_name string, content_type string, raw_text string, error string"
 
 
+class Protected(Exception):
+    """A page that holds an encrypted mail: its possible cipher texts."""
+
+
+def page_text(page: str) -> str:
+    return "\n".join(["[HTML 1]", *html.to_lines(html.blocks(page))])
+
+
 def read_one(raw: bytes, suffix: str, name: str, password: str | None = None) -> str:
-    """The raw text of one file: sections with their marks. Raises ValueError for what can't be read."""
+    """The raw text of one file: sections with their marks. Raises ValueError for what can't be read, Protected for an
+    encrypted page."""
     if suffix in NO_READER:
         raise ValueError(NO_READER[suffix])
     if suffix in ("html", "htm"):
-        page = secure.html_member(raw, password) or raw
-        return "\n".join(["[HTML 1]", *html.to_lines(html.blocks(charset.decode(page)))])
+        page = charset.decode(secure.html_member(raw, password) or raw)
+        if secure.is_shell(page):
+            raise Protected(secure.ciphers(page))
+        return page_text(page)
     if suffix == "eml":
         return mail.read_eml(raw, name)
     if suffix in ("mht", "mhtml"):
@@ -50,10 +62,30 @@ def read_one(raw: bytes, suffix: str, name: str, password: str | None = None) ->
     raise ValueError(f"Unsupported file type: .{suffix}")
 
 
+def resolve(paths: list[str], input_dir: str) -> tuple[list[str], list[str]]:
+    """(files, what is missing) of paths as a caller names them, each once, in order: absolute ones as they are; bare names
+    below the input folder, else here; others here, else below the input folder."""
+    found: list[str] = []
+    missing: list[str] = []
+    for path in paths:
+        here, there = os.path.abspath(path), os.path.join(os.path.abspath(input_dir), path)
+        tries = [path] if os.path.isabs(path) else [there, here] if os.path.basename(path) == path else [here, there]
+        hit = next((t for t in tries if os.path.isfile(t)), None)
+        if hit is None:
+            missing.append(path)
+        elif hit not in found:
+            found.append(hit)
+    return found, missing
+
+
 def load(spark: SparkSession, paths: str | list[str], password: str | None = None, glob: str | None = None) -> DataFrame:
-    """One row per file: path, name, content type, raw text, or an error."""
+    """One row per file: path, name, content type, raw text, or an error.
+
+    Encrypted pages are decrypted between two passes, by expressions, if a password is given; else they are an error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths).select("path", "content")
+    names = ["source_path", "file_name", "content_type", "raw_text", "error", "ciphers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,17 +93,34 @@ def load(spark: SparkSession, paths: str | list[str], password: str | None = Non
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = path.rsplit("/", 1)[-1]
                 suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+                text, error, found = None, None, None
                 try:
-                    text, error = read_one(raw, suffix, name, password), None
+                    text = read_one(raw, suffix, name, password)
                     if not text.strip():
                         text, error = None, "no text found"
+                except Protected as e:
+                    error, found = "protected page: no password, or not the right one", e.args[0]
                 except Exception as e:  # one unreadable file mustn't stop the others
-                    text, error = None, f"{type(e).__name__}: {e}"[:500]
-                out.append((path, name, KINDS.get(suffix), text, error))
+                    error = f"{type(e).__name__}: {e}"[:500]
+                out.append((path, name, KINDS.get(suffix), text, error, found))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["source_path", "file_name", "content_type", "raw_text", "error"])
+                *text_columns, found = zip(*out)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in text_columns), pa.array(found, pa.list_(pa.string()))], names)
+
+    read = files.mapInArrow(run, f"{SCHEMA}, ciphers array<string>")
+    if password is None:
+        return read.drop("ciphers")
+    opened = F.transform("ciphers", lambda c: F.try_validate_utf8(secure.decrypt(c, F.lit(password)).cast("string")))
+    page = F.get(F.filter(opened, lambda p: p.contains("<")), F.lit(0))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(5).to_pylist()
+            texts = [page_text(p) if p else t for p, t in zip(pages, batch.column(3).to_pylist())]
+            errors = [None if p else e for p, e in zip(pages, batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names[:5])
 
-    return files.mapInArrow(run, SCHEMA)
+    return read.withColumn("page", page).select(*names[:5], "page").mapInArrow(parse, SCHEMA)
 
 
 HANDOFF = (

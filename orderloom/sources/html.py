@@ -8,8 +8,8 @@ from html.parser import HTMLParser
 
 BLOCK_TAGS = frozenset("address article blockquote dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section ul tr table".split())
 HIDDEN = frozenset(("script", "style", "head", "title", "noscript", "template"))
-#: A span larger than this is a mistake of its writer.
-MOST_SPAN = 200
+# The largest spans that HTML knows, down and across; larger ones count as these.
+MOST_DOWN, MOST_ACROSS = 65_534, 1_000
 
 
 @dataclass
@@ -126,8 +126,8 @@ class _Reader(HTMLParser):
             if t.row is None:
                 t.row = []
             a = dict(attrs)
-            number = lambda k: min(int(m[0]), MOST_SPAN) if (m := re.match(r"\d+", a.get(k) or "")) and int(m[0]) else 1
-            t.span = (number("rowspan"), number("colspan"), tag == "th")
+            number = lambda k, most: min(int(m[0]), most) if (m := re.match(r"\d+", a.get(k) or "")) and int(m[0]) else 1
+            t.span = (number("rowspan", MOST_DOWN), number("colspan", MOST_ACROSS), tag == "th")
             t.cell = []
         elif tag in BLOCK_TAGS:
             self._out("\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 from pyspark.sql import Column
@@ -54,3 +55,38 @@ def html_member(raw: bytes, password: str | None = None) -> bytes | None:
             except RuntimeError:
                 continue
     return None
+
+
+# What pages say that hold a protected mail and ask for its password.
+MAIL_WORDS, ASK_WORDS = ["보안메일", "인증메일"], ["인증암호", "인증 암호"]
+ACTION_WORDS = ["인증하기", "인증 하기", "본문 보기", "보안메일 보기", "열람하기"]
+NOTICE_WORDS = ["주민번호 앞 6자리", "소유자가 아닐 경우", "본인 인증"]
+_BASE64 = re.compile(r"[A-Za-z0-9+/][A-Za-z0-9+/\s]{31,}={0,2}")
+_LITERALS = re.compile(r"""(?:"[^"\n]*"|'[^'\n]*')(?:\s*\+\s*(?:"[^"\n]*"|'[^'\n]*'))*""")
+_PASSWORD_FIELD = re.compile(r"<input\b[^>]*type\s*=\s*['\"]?password", re.I)
+#: How salted text begins in base64.
+SALTED = "U2FsdGVkX1"
+
+
+def ciphers(page: str) -> list[str]:
+    """The texts of a page that may be encrypted, salted and long ones first: as they stand, or put together from a
+    script's string literals."""
+    found = [m[0] for m in _BASE64.finditer(page)]
+    found += ["".join(re.findall(r"[\"']([^\"'\n]*)[\"']", m[0])) for m in _LITERALS.finditer(page)]
+    tidy = (re.sub(r"\s+", "", x.replace("\\n", "").replace("\\/", "/")) for x in found)
+    kept = dict.fromkeys(x[x.find(SALTED) :] if SALTED in x else x for x in tidy if len(x) >= 32)
+    return sorted((x for x in kept if re.fullmatch(r"[A-Za-z0-9+/]{32,}={0,2}", x)), key=lambda x: (not x.startswith(SALTED), -len(x)))
+
+
+def is_shell(page: str) -> bool:
+    """Does a page hold a protected mail and ask for its password?"""
+    has = lambda words: any(w in page for w in words)
+    tight = page.lower().replace(" ", "")
+    crypto = any(w in tight for w in ("crypto-js", "cryptojs", "aes.decrypt", "decrypt("))
+    asks, mail, acts = has(ASK_WORDS), has(MAIL_WORDS), has(ACTION_WORDS)
+    blob = SALTED in page or "Salted__" in page
+    if asks and crypto and (mail or acts):
+        return True
+    if not _PASSWORD_FIELD.search(page):
+        return "Salted__" in page and bool(_BASE64.search(page))
+    return (mail or asks or has(NOTICE_WORDS)) and (crypto or acts or blob) or crypto and blob

@@ -167,3 +167,52 @@ def test_issues_that_orders_disprove(spark):
     facts = spark.createDataFrame([(2, True, False, False, False, False)], "doc_id long, t_day_open boolean, amount_open boolean, kind_open boolean, settle_open boolean, fund_open boolean")
     got = {r.payload_id: r.kept for r in issues.reconciled(p, facts, ["T_DAY_MISSING", "T_DAY_STAGE_PARTIAL", "BASE_DATE_STAGE_PARTIAL"]).collect()}
     assert got[1] == ["OTHER"] and got[2] == every and got[3] == [x for x in every if x != "T_DAY_MISSING"]
+
+
+def test_protected_pages_are_opened(spark, tmp_path):
+    import base64
+    import hashlib
+
+    from orderloom.sources import documents, secure
+
+    password, salt, page = "p가ss", b"12345678", "<html><body><table><tr><td>펀드코드</td><td>금액</td></tr><tr><td>F1</td><td>5</td></tr></table></body></html>".encode()
+    key = block = b""
+    while len(key) < 48:
+        block = hashlib.md5(block + password.encode() + salt).digest()
+        key += block
+    enc = spark.createDataFrame([(bytearray(page), bytearray(key[:32]), bytearray(key[32:48]))], "p binary, k binary, i binary").select(F.aes_encrypt("p", "k", F.lit("CBC"), F.lit("PKCS"), F.col("i"))).first()[0]
+    cipher = base64.b64encode(b"Salted__" + salt + bytes(enc)[16:]).decode()
+    halves = f"'{cipher[:40]}' + '{cipher[40:]}'"
+    shell = "<html>보안메일<input type='password'> 인증암호 <script>var c = {}; CryptoJS.AES.decrypt(c)</script></html>"
+    (tmp_path / "a.html").write_text(shell.format(f'"{cipher}"'), encoding="utf-8")
+    (tmp_path / "b.html").write_text(shell.format(halves), encoding="utf-8")
+    (tmp_path / "c.html").write_text("<p>plain 보안메일</p>", encoding="utf-8")
+    assert secure.is_shell(shell) and not secure.is_shell("<p>plain 보안메일</p>")
+    for given, opened in ((password, True), ("wrong", False), (None, False)):
+        got = {r.file_name: (r.raw_text, r.error) for r in documents.load(spark, str(tmp_path), given).collect()}
+        assert got["c.html"] == ("[HTML 1]\nplain 보안메일", None)
+        for name in ("a.html", "b.html"):
+            assert (got[name][0] == "[HTML 1]\n펀드코드 | 금액\nF1 | 5") is opened and (got[name][1] is None) is opened
+
+
+def test_paths(tmp_path, monkeypatch):
+    from orderloom.sources import documents
+
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    for f in ("in/a.txt", "a.txt", "in/d/b.txt", "c.txt"):
+        (tmp_path / f).write_text("x")
+    monkeypatch.chdir(tmp_path)
+    found, missing = documents.resolve(["a.txt", "d/b.txt", "c.txt", str(tmp_path / "a.txt"), "a.txt", "none", "in"], "in")
+    assert [f[len(str(tmp_path)) + 1 :] for f in found] == ["in/a.txt", "in/d/b.txt", "c.txt", "a.txt"] and missing == ["none", "in"]
+
+
+def test_stage_items(spark):
+    from orderloom.operators import stages
+
+    df = spark.createDataFrame([(1, "a", "F", "T+2 예정", 1, "T1_SUB", "5", None), (1, "b", "F", "T+2 예정", 2, "T2_SUB", "5", "r"), (1, "c", "F", "x", 1, None, None, None), (1, "d", "F", "x", 1, None, None, "s")], "doc_id long, ord string, fund string, evidence_label string, t_day int, slot_id string, transfer_amount string, reason_code string")
+    full = df.withColumn("settle_class", F.lit(None).cast("string")).withColumn("order_type", F.lit(None).cast("string"))
+    assert sorted((r.ord, r.tied) for r in stages.settled_slots(full, ["doc_id", "fund"]).collect()) == [("b", False), ("c", True)]
+    assert sorted((r.ord, r.reason_code) for r in stages.distinct_items(df).collect()) == [("a", None), ("b", "r"), ("c", "s")]
+    a = spark.createDataFrame([(1, "x", None), (2, "y", None), (3, "z", None), (5, "q", "w")], "k int, f string, g string")
+    b = spark.createDataFrame([(1, "x", "1"), (2, "y", None), (4, "n", None), (5, "q", None)], "k int, f string, g string")
+    assert {r.k: r.delta for r in stages.compared(a, b, ["k"], ["f", "g"]).collect()} == {1: "filled", 2: "same", 3: "missing", 4: "added", 5: "lost"}
