@@ -65,12 +65,13 @@ def audit_of(tabs: DataFrame) -> DataFrame:
     kind = lambda z: F.get(F.filter(F.transform(z["row"], lambda c: F.when(F.lower(text.bare(c)).isin("입금", "출금", "환매신청", "설정", "해지"), c)), lambda c: c.isNotNull()), F.lit(0))
     codes = F.filter(F.transform(own, lambda z: F.get(z["row"], F.col("code_at") - 1)), lambda c: F.coalesce(c, F.lit("")) != "")
     t = tabs.select(
-        "doc_id", F.array(F.struct(
+        "doc_id", "section_no", "block_no", F.array(F.struct(
             F.filter("header", lambda h: h != "").alias("labels"), F.transform(own, lambda z: line(z["row"])).alias("rows"), F.transform(F.filter(own, lambda z: z["own"] != z["row"]), lambda z: line(z["row"])).alias("inherited"),
             F.filter(F.transform(own, kind), lambda k: k.isNotNull()).alias("kinds"), codes.alias("codes"),
         )).alias("a"),
-    ).select("doc_id", layout.posexplode("a").alias("p", "a")).where("a.labels IS NOT NULL")
-    flat = lambda k: F.array_distinct(F.flatten(F.collect_list(f"a.{k}"))).alias(k)
+    ).select("doc_id", "section_no", "block_no", layout.posexplode("a").alias("p", "a")).where("a.labels IS NOT NULL")
+    placed = lambda k: F.array_sort(F.collect_list(F.struct("section_no", "block_no", F.col(f"a.{k}").alias("x"))))
+    flat = lambda k: F.array_distinct(F.flatten(F.transform(placed(k), lambda q: q["x"]))).alias(k)
     g = t.groupBy("doc_id").agg(*(flat(k) for k in ("labels", "rows", "inherited", "kinds", "codes")))
     n = F.size("codes")
     three = F.when(n <= 3, F.col("codes")).otherwise(F.array(F.get("codes", F.lit(0)), F.get("codes", F.floor(n / 2).cast("int")), F.element_at("codes", -1)))

@@ -362,4 +362,10 @@ SELECT payload_id, coalesce(a, b) AS party, CASE WHEN a IS NOT NULL THEN 'text'
 g AS (SELECT payload_id AS doc_id, coalesce({S.squeeze("fund_code")}, '') AS c, CASE WHEN coalesce({S.squeeze("fund_code")}, '') = '' THEN coalesce({S.squeeze("fund_name")}, '') ELSE '' END AS n FROM order_extractions),
 u AS (SELECT doc_id, c, n, true AS g, false AS o, 0 AS bad FROM g UNION ALL SELECT doc_id, c, n, false, true, bad::INT FROM k), f AS (SELECT doc_id, c, n, bool_or(g) AS g, bool_or(o) AS o, sum(bad) AS bad FROM u GROUP BY doc_id, c, n)
 SELECT doc_id, count(*) FILTER (g AND NOT o) AS missing, count(*) FILTER (o AND NOT g) AS added, CAST(sum(bad) AS BIGINT) AS incomplete FROM f GROUP BY doc_id""",
+    "row_local_orders": f"""WITH {T.UNPIVOT}, v AS (SELECT *, CASE WHEN signed THEN amount WHEN order_type = 'RED' THEN -abs(amount) ELSE abs(amount) END AS value FROM am WHERE NOT has_code AND order_type IS NOT NULL AND base_date IS NOT NULL)
+SELECT doc_id, section_no, block_no, row_no, col_no, '' AS fund_code, coalesce(fund_name, '-') AS fund_name, CASE WHEN t_day = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS settle_class, order_type, base_date, t_day, {S.render(S.snap("value"))} AS transfer_amount,
+ CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY section_no, block_no, row_no) AS INTEGER) AS fund_row FROM v""",
+    "packed_chunks": """WITH p AS (SELECT payload_id AS doc_id, list_transform(list_filter(string_split(markdown_text, '\n\n<!-- SECTION -->\n\n'), lambda z: trim(z, ' ') <> ''), lambda z: [z]) AS parts FROM task_payloads WHERE markdown_text IS NOT NULL),
+c AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_reduce(parts, lambda a, x: CASE WHEN length(a[len(a)]) + 20 + length(x[1]) <= 12000 THEN list_concat(a[1:len(a) - 1], [concat(a[len(a)], '\n\n<!-- SECTION -->\n\n', x[1])]) ELSE list_concat(a, x) END) END AS c FROM p)
+SELECT doc_id, CAST(len(c) AS INTEGER) AS n_chunks, CAST(list_max(list_transform(c, lambda z: length(z))) AS INTEGER) AS longest FROM c""",
 }

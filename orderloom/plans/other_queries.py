@@ -238,4 +238,14 @@ m AS (SELECT *, max(sc) OVER (PARTITION BY doc_id, fund, base_date, evidence_lab
     "retry_delta": f"WITH {_ITEMS}, d AS (SELECT DISTINCT doc_id, ord, slot_id, settle_class FROM i) SELECT doc_id, CASE WHEN settle_class IS NULL AND starts_with(slot_id, 'T') THEN 'filled' ELSE 'same' END AS delta, count(*) AS n FROM d GROUP BY 1, 2",
     "slots_complete": f"""WITH {T.UNPIVOT}, {_ITEMS}, a AS (SELECT DISTINCT doc_id, coalesce({S.squeeze("fund_code")}, '') AS fund, t_day, regexp_extract(coalesce(slot_id, ''), '_(.*)', 1) AS kind FROM i), b AS (SELECT DISTINCT doc_id, fund_code AS fund, t_day, CASE WHEN signed THEN 'NET' ELSE order_type END AS kind FROM am WHERE order_type IS NOT NULL AND fund_code IS NOT NULL),
 n AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AS both_have FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.fund IS NOT DISTINCT FROM b.fund AND a.t_day IS NOT DISTINCT FROM b.t_day AND a.kind IS NOT DISTINCT FROM b.kind) SELECT doc_id, bool_and(both_have) AS complete FROM n GROUP BY doc_id""",
+    "html_round_trip": f"WITH {T.CELLS}, w AS (SELECT doc_id, section_no, block_no, max(row_no) * max(col_no) AS n FROM cel GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_cells, CAST(sum(n) AS BIGINT) AS n_same FROM w GROUP BY doc_id",
+    "markdown_audit": f"""WITH {T.BODY}, md AS (SELECT payload_id AS doc_id, markdown_text AS m, coalesce(content_type = 'text/html', false) AS html FROM task_payloads WHERE markdown_text IS NOT NULL),
+kr AS (SELECT b.doc_id, b.section_no, b.block_no, b.row_no, concat('| ', string_agg(replace(d.v, '|', '\\|'), ' | ' ORDER BY d.col_no), ' |') AS line, bool_or(d.own <> d.v) AS inherited, arg_min(d.v, d.col_no) FILTER (lower(regexp_replace(d.v, '[^0-9a-z가-힣]+', '', 'g')) IN ('입금', '출금', '환매신청', '설정', '해지')) AS kind, max(CASE WHEN d.col_no = c.code_at THEN nullif(d.v, '') END) AS code
+ FROM bro b JOIN bod d USING (doc_id, section_no, block_no, row_no) JOIN cat c USING (doc_id, section_no, block_no) WHERE b.kept GROUP BY b.doc_id, b.section_no, b.block_no, b.row_no),
+co AS (SELECT doc_id, list(code ORDER BY p) AS codes FROM (SELECT doc_id, code, min((section_no, block_no, row_no)) AS p FROM kr WHERE code IS NOT NULL GROUP BY doc_id, code) GROUP BY doc_id),
+la AS (SELECT md.doc_id, bool_or(trim(h.label) <> '' AND NOT contains(md.m, trim(h.label))) AS l FROM md JOIN hdr h USING (doc_id) GROUP BY md.doc_id),
+ra AS (SELECT md.doc_id, bool_or(NOT contains(md.m, line)) AS r, bool_or(inherited AND NOT contains(md.m, line)) AS i, coalesce(bool_or(NOT contains(md.m, trim(kind))), false) AS k FROM md JOIN kr USING (doc_id) GROUP BY md.doc_id),
+ca AS (SELECT md.doc_id, len(list_filter(CASE WHEN len(codes) <= 3 THEN codes ELSE [codes[1], codes[len(codes) // 2 + 1], codes[len(codes)]] END, lambda z: NOT contains(md.m, trim(z)))) > 0 AS c FROM md JOIN co USING (doc_id))
+SELECT md.doc_id, CASE WHEN la.doc_id IS NULL THEN CASE WHEN md.html THEN 'html_markdown_unverified' ELSE '' END ELSE concat_ws('|', CASE WHEN l THEN 'html_label_missing' END, CASE WHEN r THEN 'html_table_shape_collapsed' END, CASE WHEN i THEN 'html_inherited_context_missing' END, CASE WHEN k THEN 'html_row_kind_missing' END, CASE WHEN c THEN 'html_fund_code_missing' END) END AS reasons
+ FROM md LEFT JOIN la USING (doc_id) LEFT JOIN ra USING (doc_id) LEFT JOIN ca USING (doc_id)""",
 }
