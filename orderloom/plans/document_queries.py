@@ -11,11 +11,11 @@ from . import sql as S
 from . import table_sql as T
 from .order_queries import _DEDUPED, _ITEMS, _ORDERS, _live, items
 from .pipeline import BLOCKING
-from .tables import table
+from .tables import spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str, field: str = "raw_text") -> DataFrame:
-    return table(spark, sf_dir, "task_payloads").select(F.col("payload_id").alias("doc_id"), F.col(field).alias("text"))
+    return spread(table(spark, sf_dir, "task_payloads").select(F.col("payload_id").alias("doc_id"), F.col(field).alias("text")), "doc_id")
 
 
 def tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
