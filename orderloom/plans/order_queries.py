@@ -34,7 +34,7 @@ n AS (SELECT doc_id, ord, slot_id, coalesce({S.squeeze("fund_code")}, '') AS fun
  {S.squeeze("coalesce(evidence_label, '')")} AS evidence_label, transfer_amount, {S.canonical("transfer_amount")} AS canonical,
  {S.settle_class("settle_class", "t_day", "evidence_label")} AS settle_class, {S.order_type("order_type", "transfer_amount", "evidence_label")} AS order_type, {S.evidence_kind("evidence_label")} AS evidence_kind FROM i),
 c AS (SELECT *, {S.signed("transfer_amount", "order_type")} AS signed, fund_code AS id_code, CASE WHEN fund_code = '' THEN fund_name ELSE '' END AS id_name,
- CASE WHEN fund_code = '' OR fund_name = '' THEN 'FUND_METADATA_INCOMPLETE' WHEN {S.contains_any("lower(evidence_label)", labels.NON_AMOUNT)} THEN 'NON_AMOUNT_EVIDENCE_DROPPED' WHEN canonical IS NULL THEN 'TRANSFER_AMOUNT_MISSING'
+ CASE WHEN fund_code = '' OR fund_name = '' THEN 'FUND_METADATA_INCOMPLETE' WHEN {S.contains_any("lower(evidence_label)", S.NON_AMOUNT)} THEN 'NON_AMOUNT_EVIDENCE_DROPPED' WHEN canonical IS NULL THEN 'TRANSFER_AMOUNT_MISSING'
  WHEN canonical = '0' THEN 'ZERO_AMOUNT' WHEN settle_class IS NULL THEN 'SETTLE_CLASS_MISSING' WHEN order_type IS NULL THEN 'ORDER_TYPE_MISSING' END AS drop_reason FROM n)"""
 _KEYS = "doc_id, id_code, id_name, settle_class, base_date, t_day"
 _DEDUPED = f"""{_CANDIDATES},
@@ -229,7 +229,7 @@ t AS (SELECT *, regexp_replace(regexp_replace(cell, '[\s\p{{Z}}]+', '', 'g'), '(
 n AS (SELECT *, CASE WHEN regexp_full_match(t, '[+-]?[0-9][0-9,]*(\.[0-9]+)?[억만천]?') THEN CAST(TRY_CAST(regexp_replace(replace(t, ',', ''), '[억만천]$', '') AS DECIMAL(24,6)) * CASE regexp_extract(t, '[억만천]$') WHEN '억' THEN 100000000 WHEN '만' THEN 10000 WHEN '천' THEN 1000 ELSE 1 END AS DECIMAL(18,2)) END AS d FROM t)
 SELECT p_partkey, cell, CAST(d AS VARCHAR) AS number, trim(cell) IN ('-', '--') OR coalesce(d, 1) = 0 AS zero FROM n""",
     "date_forms": f"WITH d AS (SELECT o_orderkey, {_DATE_TEXT['duck']} AS written FROM orders) SELECT o_orderkey, written, {S.normalize_date('written')} AS normal, TRY_CAST({S.normalize_date('written')} AS DATE) IS NOT NULL AS valid FROM d",
-    "label_classes": f"SELECT evidence_label, n, {S.direction('evidence_label')} AS direction, {S.evidence_kind('evidence_label')} AS kind, {S.is_schedule('evidence_label')} AS schedule, {S.contains_any('lower(evidence_label)', labels.NON_AMOUNT)} AS non_amount FROM (SELECT evidence_label, count(*) AS n FROM resolved_items WHERE evidence_label IS NOT NULL GROUP BY 1)",
+    "label_classes": f"SELECT evidence_label, n, {S.direction('evidence_label')} AS direction, {S.evidence_kind('evidence_label')} AS kind, {S.is_schedule('evidence_label')} AS schedule, {S.contains_any('lower(evidence_label)', S.NON_AMOUNT)} AS non_amount FROM (SELECT evidence_label, count(*) AS n FROM resolved_items WHERE evidence_label IS NOT NULL GROUP BY 1)",
     "settle_and_type": f"SELECT evidence_label, t_day, settle_class AS given_settle, order_type AS given_type, count(*) AS n, {S.settle_class('settle_class', 't_day', 'evidence_label')} AS settle, CASE WHEN t_day = 0 THEN 'CONFIRMED' WHEN t_day >= 1 THEN 'PENDING' END AS settle_by_day, {S.order_type('order_type', 'CAST(NULL AS VARCHAR)', 'evidence_label')} AS type FROM resolved_items GROUP BY evidence_label, t_day, settle_class, order_type",
     "name_keys": f"SELECT fund_id, {S.name_key('fund_name')} AS key, {S.compact('fund_name')} AS compact, {S.squeeze('manager_name')} AS manager FROM funds",
     "reason_codes": "SELECT nullif(substring(regexp_replace(regexp_replace(upper(trim(lower(reason_code) || ' - ' || coalesce(slot_id, ''))), '[^0-9A-Z가-힣]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 64), '') AS code, count(*) AS n FROM resolved_items GROUP BY 1",

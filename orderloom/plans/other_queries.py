@@ -210,7 +210,7 @@ SQL = {
     "stage_settle": "SELECT payload_id AS doc_id, count(*) AS n_items, count(*) FILTER (settle_class IS NULL AND slot_id NOT LIKE 'T%') AS n_missing FROM resolved_items GROUP BY 1",
     "date_context": r"WITH l AS (SELECT payload_id AS doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS line_no FROM task_payloads WHERE raw_text IS NOT NULL), w AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS date, bool_or(regexp_matches(line, '기준일|Date:')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near_label FROM l) SELECT * FROM w WHERE date <> ''",
     "mail_headers": r"SELECT payload_id, nullif(regexp_extract(raw_text, '(?m)^Date \(Asia/Seoul\): ([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1), '') AS day, nullif(regexp_extract(raw_text, '(?m)^Date \(Asia/Seoul\): ([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1), '') AS written_day FROM task_payloads WHERE content_type = 'message/rfc822' AND raw_text IS NOT NULL",
-    "blocking_gate": f"SELECT payload_id AS doc_id, order_id FROM order_extractions o WHERE NOT EXISTS (SELECT 1 FROM (SELECT payload_id AS p, unnest(issues) AS issue FROM document_payloads) WHERE p = o.payload_id AND regexp_extract(issue, '^[A-Z_]+') IN ({', '.join(repr(x) for x in pipeline.BLOCKING)}))",
+    "blocking_gate": f"SELECT payload_id AS doc_id, order_id FROM order_extractions o WHERE NOT EXISTS (SELECT 1 FROM (SELECT payload_id AS p, unnest(issues) AS issue FROM document_payloads) WHERE p = o.payload_id AND regexp_extract(issue, '^[A-Z_]+') IN ({', '.join(repr(x) for x in S.BLOCKING)}))",
     "table_roles": f"WITH {T.GRID}, {T.LABELS} SELECT label, pays AS \"any\", net, context, identity, strong, mixed, relevant, count(*) AS n FROM col GROUP BY ALL",
     "document_orders": f"WITH {T.TABLE_ORDERS} SELECT DISTINCT doc_id, fund_code, fund_name, {S.output_codes('settle_class', 'order_type', 't_day')}, base_date, {S.output_amount('transfer_amount', 'order_type')} AS transfer_amount FROM tor",
     "stream_event_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

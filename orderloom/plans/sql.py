@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from ..functions import amounts, dates, labels
+# Written out again, so that a wrong word in an operator shows.
+_EMPTY = ["", "-", "--", "N/A", "n/a", "null", "None"]
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_SUB = ["투입", "설정", "입금", "납입", "매입", "buy", "subscription"]
+_RED = ["인출", "해지", "출금", "환매", "sell", "redemption"]
+_SCHEDULE = ["예정", "청구", "예상", "t+"]
+_SCHEDULE_PATTERN = r"익+영업일|제\s*[0-9]+\s*영업일|[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일|[0-9]{1,2}[/-][0-9]{1,2}|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_EXPLICIT = ["설정금액", "해지금액", "입금액", "출금액", "투입금액", "인출금액", "buy", "sell", "subscription", "redemption"]
+_NET = ["순유입", "순투입", "증감금액", "증감액", "펀드계", "정산액", "당일이체금액", "이체예상금액", "이체예정금액", "실행금액", "결제금액", "settlement amount", "execution amount", "execution"]
+_SAME_DAY = ["당일", "확정", "실행", "당일이체", "당일투입", "당일인출", "설정금액", "해지금액", "입금액", "출금액", "buy", "sell"]
+_INSTRUCTION = ["subscription", "redemption", "order", "instruction", "운용지시", "지시서"]
+NON_AMOUNT = ["좌수", "unit", "share", "nav대비", "nav ratio", "ratio", "%", "합산", "누계", "총합", "subtotal", "total"]
+BLOCKING = [
+    "LLM_INVALID_RESPONSE_FORMAT", "FUND_DISCOVERY_EMPTY", "TRANSACTION_SLOT_EMPTY", "TRANSFER_AMOUNT_EMPTY", "SETTLE_CLASS_EMPTY", "FUND_METADATA_INCOMPLETE", "TRANSFER_AMOUNT_MISSING",
+    "TRANSFER_AMOUNT_CONFLICT", "SETTLE_CLASS_MISSING", "ORDER_TYPE_MISSING", "T_DAY_MISSING", "BASE_DATE_STAGE_PARTIAL", "T_DAY_STAGE_PARTIAL", "TRANSFER_AMOUNT_STAGE_PARTIAL",
+    "SETTLE_CLASS_STAGE_PARTIAL", "ORDER_TYPE_STAGE_PARTIAL",
+]
 
 
 def quoted(words: list[str]) -> str:
@@ -22,7 +38,7 @@ def compact(x: str) -> str:
 
 
 def bare(x: str) -> str:
-    return f"(CASE WHEN trim({x}) NOT IN ({quoted(amounts.EMPTY)}) THEN replace(trim({x}), ' ', '') END)"
+    return f"(CASE WHEN trim({x}) NOT IN ({quoted(_EMPTY)}) THEN replace(trim({x}), ' ', '') END)"
 
 
 def parse(x: str) -> str:
@@ -80,7 +96,7 @@ def month_first(x: str) -> str:
 def short_english(x: str) -> str:
     p = r"(?i)^\s*([0-9]{1,2})-([a-z]{3})-([0-9]{2})\s*$"
     part = lambda k: f"regexp_extract({x}, '{p}', {k})"
-    month = f"list_position([{quoted(dates.MONTHS)}], lower({part(2)}))"
+    month = f"list_position([{quoted(_MONTHS)}], lower({part(2)}))"
     year = f"TRY_CAST({part(3)} AS INTEGER)"
     return f"(CASE WHEN regexp_matches({x}, '{p}') AND {month} > 0 THEN concat_ws('-', CAST({year} + CASE WHEN {year} >= 69 THEN 1900 ELSE 2000 END AS VARCHAR), lpad(CAST({month} AS VARCHAR), 2, '0'), lpad({part(1)}, 2, '0')) END)"
 
@@ -91,24 +107,24 @@ def normalize_date(x: str) -> str:
 
 def direction(x: str) -> str:
     t = f"lower({x})"
-    sub, red = contains_any(t, labels.SUB_WORDS), contains_any(t, labels.RED_WORDS)
+    sub, red = contains_any(t, _SUB), contains_any(t, _RED)
     return f"(CASE WHEN {sub} AND NOT {red} THEN 'SUB' WHEN {red} AND NOT {sub} THEN 'RED' END)"
 
 
 def is_schedule(x: str) -> str:
     t = f"lower({x})"
-    return f"({contains_any(t, labels.SCHEDULE_WORDS)} OR regexp_matches({t}, '{labels.SCHEDULE_PATTERN}'))"
+    return f"({contains_any(t, _SCHEDULE)} OR regexp_matches({t}, '{_SCHEDULE_PATTERN}'))"
 
 
 def evidence_kind(x: str) -> str:
     t = f"lower(coalesce({x}, ''))"
-    return f"(CASE WHEN {contains_any(t, labels.EXPLICIT_EVIDENCE)} THEN 'explicit' WHEN {contains_any(t, labels.NET_EVIDENCE)} THEN 'execution' ELSE 'other' END)"
+    return f"(CASE WHEN {contains_any(t, _EXPLICIT)} THEN 'explicit' WHEN {contains_any(t, _NET)} THEN 'execution' ELSE 'other' END)"
 
 
 def settle_class(value: str, day: str, label: str) -> str:
     t = f"lower(coalesce({label}, ''))"
     return (
-        f"(CASE WHEN {is_schedule(t)} THEN 'PENDING' WHEN {contains_any(t, labels.SAME_DAY_EVIDENCE)} THEN 'CONFIRMED' WHEN {contains_any(t, labels.INSTRUCTION_EVIDENCE)} THEN 'CONFIRMED' "
+        f"(CASE WHEN {is_schedule(t)} THEN 'PENDING' WHEN {contains_any(t, _SAME_DAY)} THEN 'CONFIRMED' WHEN {contains_any(t, _INSTRUCTION)} THEN 'CONFIRMED' "
         f"WHEN upper(trim({value})) IN ('CONFIRMED', 'PENDING') THEN upper(trim({value})) WHEN {day} = 0 THEN 'CONFIRMED' WHEN {day} >= 1 THEN 'PENDING' END)"
     )
 
